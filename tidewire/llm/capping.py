@@ -12,7 +12,7 @@ join with a shuffle-free side only while that count is small.
 
 Defined results: rows with a blank source belong to nobody and are neither
 counted nor dropped; a missing score or time comes last; redelivered rows
-count each; an empty table gives an empty result; only the columns named are
+count each; rows equal in every byte (a row key given twice) stay together; an empty table gives an empty result; only the columns named are
 read, so further columns cannot clash.
 """
 
@@ -70,7 +70,7 @@ def over_allowance(rows: DataFrame, least: int = LEAST, share: float = SHARE) ->
         at = tally.withColumn("before", F.coalesce(before, F.lit(0)))
         cut = at.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("m") > F.col("left"))).select("part", "who", F.col("digit").alias("cut"), (F.col("left") - F.col("before")).alias("rest"))
         met = active.join(cut, ["part", "who"])
-        step = written(met.where(digit >= F.col("cut")).select("part", "who", "row", "code", F.col("rest").alias("left"), (digit > F.col("cut")).alias("worse")), "radix")
+        step = written(met.where(digit >= F.col("cut")).select("part", "who", "row", "code", F.col("rest").alias("left"), ((digit > F.col("cut")) | (F.col("rest") == 0)).alias("worse")), "radix")
         dropped.append(step.where("worse").select("row"))
         active = step.where("not worse").drop("worse")
         if active.isEmpty():
@@ -93,15 +93,20 @@ def found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BLANK = r"[\s\p{Z}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{85}]+"
-_CLEAN = "lower(trim(regexp_replace(coalesce({0}, ''), '" + _BLANK + "', ' ', 'g')))"
+
+
+def _clean(column: str) -> str:
+    return f"lower(trim(regexp_replace(coalesce({column}, ''), '{_BLANK}', ' ', 'g')))"
+
+
 SQL = f"""
 WITH names AS (
   SELECT name, min(source_id) AS source_id FROM (
-    SELECT source_id, {_CLEAN.format('n')} AS name
+    SELECT source_id, {_clean('n')} AS name
     FROM (SELECT source_id, unnest(list_concat([source, domain], coalesce(aliases, []))) AS n FROM sources)
   ) WHERE name <> '' GROUP BY name
 ), own AS (
-  SELECT item_row, edition_date, score, published_at, {_CLEAN.format('source')} AS name FROM edition_items
+  SELECT item_row, edition_date, score, published_at, {_clean('source')} AS name FROM edition_items
 ), who AS (
   SELECT o.*, coalesce('#' || n.source_id, '=' || o.name) AS who FROM own o LEFT JOIN names n ON o.name = n.name WHERE o.name <> ''
 ), ranked AS (
