@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import capping, neardup, topn, truncation
+from tidewire.llm import capping, leakage, neardup, topn, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": neardup.found, "p1_groups": neardup.classes, "p2_found": topn.found, "p3_found": truncation.found, "p3_sources": truncation.by_source, "p5_found": capping.found}
+    return {"p1_found": neardup.found, "p1_groups": neardup.classes, "p2_found": topn.found, "p3_found": truncation.found, "p3_sources": truncation.by_source, "p5_found": capping.found, "p7_found": leakage.found, "p7_coverage": leakage.coverage}
 
 
 def oracle_sql() -> dict[str, str]:
