@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.shared import written
+
 #: Wide forms, odd blanks and dashes as their plain ones; every character stays one character.
 SAME_LENGTH = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {c: " " for c in map(ord, "\t             　")} | {c: "-" for c in map(ord, "‐‑‒–—−")}
 
@@ -54,35 +56,38 @@ IDENTITY = re.compile(
 PHONE = re.compile(
     r"(?<![A-Za-z0-9.@/+-])(?:"
     r"(?:\+|00[ .-]?)[1-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?(?:\(?\d{1,4}\)?[ .-]?){1,4}\d{2,4}"  # with a country
-    r"|\(?0\d{1,4}\)?[ .-]\d{3,4}[ .-]?\d{3,6}(?:[ .-]\d{3,4})?"  # with a trunk zero
+    r"|\(?0\d{1,4}\)?[ -]\d{3,4}[ -]?\d{3,6}(?:[ -]\d{3,4})?"  # with a trunk zero
     r"|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ ./-])\d{3}[ .-]\d{2}[ .-]?\d{2}"  # ten digits, North American
     r"|0\d{2,3}-?\d{7,8}|1[2-9]\d-\d{4}-\d{4}|1[2-9]\d \d{4} \d{4}|1[2-9]\d{9}"  # Chinese
     r")(?![A-Za-z0-9]|[.-]\d)"
 )
 ROAD = r"(?:Street|St|Road|Rd|Drive|Dr|Lane|Ln|Avenue|Ave|Terrace|Way|Court|Crescent|Close|Place|Square|Boulevard|Blvd|Gardens|Grove|Row|Hill|Walk|Mews|Parade)"
-WORD = r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’-]*"
+LETTERS = r"[A-Za-zÀ-ɏ'’-]*"
+WORD = r"[A-Za-zÀ-ɏ]" + LETTERS
 ADDRESS = re.compile(
     r"(?<![A-Za-z0-9/.-])(?:"
-    rf"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room) \d+[A-Za-z]?(?:, ?|/| ))?\d{{1,5}}[A-Za-z]?,? (?:(?:rue|avenue|boulevard|place|chemin|via|calle) (?:(?:de|du|des|la|le|di|del) |d'|l')*{WORD}|(?:{WORD} ){{1,3}}?{ROAD}(?![A-Za-z]))"
+    r"(?:(?:[Ff]lat|[Uu]nit|[Aa]pt\.?|[Aa]partment|[Ss]uite|[Rr]oom) \d+[A-Za-z]?(?:, ?|/| ))?\d{1,5}[A-Za-z]?(?:"
+    rf",? (?:rue|via|calle|chemin|place|avenue|boulevard) (?:(?:de|du|des|la|le|di|del) |d'|l')*{WORD}"
+    rf"| (?:[A-ZÀ-Þ]{LETTERS} ){{1,3}}?{ROAD}(?![A-Za-z])| [a-zß-ÿ]{LETTERS} {ROAD.lower()}(?![A-Za-z]))"
     rf"|{WORD}(?:straße|strasse|weg|allee|gasse|platz) \d{{1,4}}[a-z]?(?:, \d{{5}} {WORD})?"
-    r")",
-    re.I,
+    r")"
 )
 HAN = r"[㐀-鿿]"
-ADDRESS_ZH = re.compile(rf"(?:(?<=寄往)|(?<=住址为)|(?<=地址为)|(?<=地址：)|(?<=住在)|(?<=位于)){HAN}{{2,6}}?[市县区]{HAN}{{1,8}}?(?:大道|路|街|巷|弄|胡同)\d+号|{HAN}{{2}}市{HAN}{{1,6}}?(?:大道|路|街|巷|弄|胡同)\d+号")
+ADDRESS_ZH = re.compile(rf"(?:(?<=寄往)|(?<=住址为)|(?<=地址为)|(?<=地址:)|(?<=住在)|(?<=位于)){HAN}{{2,6}}?[市县区]{HAN}{{1,8}}?(?:大道|路|街|巷|弄|胡同)\d+号|{HAN}{{2}}市{HAN}{{1,6}}?(?:大道|路|街|巷|弄|胡同)\d+号")
 
 CAP = r"[A-ZÀ-Þ][a-zß-ÿĀ-ɏ'’]+"
 SURNAME = rf"{CAP}(?:-{CAP})*"
 PAIR = re.compile(rf"(?<![\w.@-])({CAP}) (?:([A-Z])\. ?)?({SURNAME})(?![\w@]|-\w)")
 INITIAL = re.compile(rf"(?<![\w.@-])(?:[A-Z]\. ?){{1,2}}({SURNAME})(?![\w@]|-\w)")
 REVERSED = re.compile(rf"(?<![\w.@-])({SURNAME}), ({CAP})(?: [A-Z]\.)?(?![\w@]|-\w)")
-TITLED = re.compile(rf"(?<![\w.@-])(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Col|Colonel|Gen|General|Capt|Captain|Maj|Major|Sgt|Lt|Rev|Sir|Dame|Lord|Lady|Judge|Sen|Rep|Gov)\.? +(?:(?:{CAP}|[A-Z]\.) (?:[A-Z]\. ?)?)?({SURNAME})(?![\w@]|-\w)")
-TITLE_WORD = re.compile(r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Col|Colonel|Gen|General|Capt|Captain|Maj|Major|Sgt|Lt|Rev|Sir|Dame|Lord|Lady|Judge|Sen|Rep|Gov)\.? +")
+TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Col|Colonel|Gen|General|Capt|Captain|Maj|Major|Sgt|Lt|Rev|Sir|Dame|Lord|Lady|Judge|Sen|Rep|Gov"
+TITLED = re.compile(rf"(?<![\w.@-])(?:{TITLES})\.? +(?:(?:{CAP}|[A-Z]\.) (?:[A-Z]\. ?)?)?({SURNAME})(?![\w@]|-\w)")
+TITLE_WORD = re.compile(rf"(?:{TITLES})\.? +")
 CAPITALISED = re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿĀ-ɏ'’]+")
 #: Chinese cues around a name, fixed values; the corpus decides which of their pairs reveal one.
 LEFT_ZH = ("由", "联系人：", "联系人:", "记者 ", "记者：", "记者", "读者", "显示，", "作者：", "作者 ", "编辑：", "编辑 ", "通讯员 ", "通讯员", "市民", "居民")
 RIGHT_ZH = ("签收", "，电话", " 电话", " 邮箱", "，邮箱", "来信", "的证件", "的身份证", "先生", "女士", "教授", "博士", "表示", "报道", "）")
-CUED = re.compile(rf"({'|'.join(map(re.escape, LEFT_ZH))})({HAN}{{2,4}}?)({'|'.join(map(re.escape, RIGHT_ZH))})")
+CUED = re.compile("({})({}{{2,4}}?)({})".format(*("|".join(re.escape(c.translate(SAME_LENGTH)) for c in cues) if isinstance(cues, tuple) else cues for cues in (LEFT_ZH, HAN, RIGHT_ZH))))
 
 #: Characters within which an entity counts as near.
 NEAR = 80
@@ -169,13 +174,11 @@ def learn(texts: DataFrame) -> Terms:
     docs = texts.count()
     stats = texts.mapInArrow(_statistics, "kind string, term string, other string, n long, near long").groupBy("kind", "term", "other").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
     least = max(float(LEAST), SUPPORT * docs)
-    from tidewire.shared import written
-
     stats = written(stats, "terms")
     words = stats.where("kind = 'word'").select("term", "n")
     common = words.where(F.col("n") >= max(20.0, COMMON * docs))
     rare_pairs = stats.where("kind = 'pair'").join(common.select(F.substring_index("term", "-", 1).alias("first")), F.substring_index("other", "-", 1) == F.col("first"), "left_anti")
-    given = rare_pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.count("*").alias("kinds"))
+    given = rare_pairs.where(~F.col("term").rlike(f"^(?:{TITLES})$")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.count("*").alias("kinds"))
     total = given.agg(F.sum("n"), F.sum("near")).first()
     base = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
     bits = F.log2(F.col("near") / F.col("n") / F.lit(base))
