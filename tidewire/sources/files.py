@@ -1,0 +1,60 @@
+"""JSON documents in, tables, shards and a feed out."""
+
+from __future__ import annotations
+
+from xml.sax.saxutils import escape
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.config import NO_COUNTRY
+from tidewire.functions import dates, text, web
+
+ITEM = "id string, title string, description string, summary string, source string, country string, publishedAt string, published_at string, url string, category string, domain string, image string, _corrupt_record string"
+SEARCHED = ("id", "title", "summary", "category", "source", "country", "published_at", "url", "score", "tags", "event_id")
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items from JSON, as a list or under ``items``, older and newer key names alike; unreadable documents give no row."""
+    plain = spark.read.schema(ITEM).json(path, multiLine=True, mode="PERMISSIVE")
+    nested = spark.read.schema(f"items array<struct<{ITEM.rsplit(', _', 1)[0].replace(' string', ':string')}>>").json(path, multiLine=True)
+    both = plain.where(F.col("_corrupt_record").isNull() & (F.col("title").isNotNull() | F.col("url").isNotNull())).drop("_corrupt_record").unionByName(nested.select(F.explode("items").alias("x")).select("x.*"))
+    return both.select(
+        F.coalesce("id", web.article_id(F.col("url"), F.col("title"))).alias("id"),
+        text.clean_text(F.col("title"), 300).alias("title"), text.clean_text(F.coalesce("description", "summary"), 900).alias("description"),
+        "source", F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), dates.parse(F.coalesce("publishedAt", "published_at")).alias("published_at"), "url", "category",
+        F.coalesce("domain", web.domain(F.col("url"))).alias("domain"), "image",
+    )
+
+
+def fresh_cache(items: DataFrame, generated: Column, now: Column, hours: int) -> DataFrame:
+    """Published items taken in again, if their document is no older than ``hours`` and not from the future."""
+    age = (F.unix_seconds(now) - F.unix_seconds(generated)) / 3600.0
+    return items.where(generated.isNotNull() & age.between(-2, hours) & F.col("published_at").isNotNull())
+
+
+def write_editions(items: DataFrame, path: str) -> None:
+    """Each edition replaces its own partition and leaves the others alone."""
+    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_date").parquet(path)
+
+
+def write_shards(items: DataFrame, path: str) -> None:
+    """The searched fields by month, so that a search over a span reads its months only."""
+    kept = items.select(*SEARCHED, "edition_date", F.date_format("edition_date", "yyyy-MM").alias("month"))
+    kept.repartition("month", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def retained_editions(editions: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` editions (a number of editions, not of days)."""
+    return editions.orderBy(F.desc("edition_date")).limit(n)
+
+
+def atom_feed(items: DataFrame, title: str, site: str, n: int = 10) -> str:
+    """An Atom document of at most ``n`` items."""
+    rows = items.orderBy(F.desc("score"), F.desc("published_at"), "id").limit(n).select("id", "title", "summary", "url", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.col("edition_date").cast("string").alias("day")).collect()
+    entries = "".join(
+        f"<entry><id>urn:item:{escape(r['day'] or '')}:{escape(r['id'] or '')}</id><title>{escape(r['title'] or '')}</title><updated>{r['at'] or ''}</updated>"
+        f'<link href="{escape(r["url"] or site, {chr(34): "&quot;"})}"/><summary>{escape(r["summary"] or "")}</summary></entry>'
+        for r in rows
+    )
+    return f'<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{escape(title)}</title><id>{escape(site)}</id>{entries}</feed>'
