@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.capping import contributor_key
+from tidewire.shared import written
 
 #: A trigram seen this often has its own verdict; a word this often inside counts as a word whose beginning may be left.
 ENOUGH, FREQUENT = 5, 50
@@ -60,18 +61,20 @@ FROM (
 )
 """
 
-_JUDGED = r"""
-WITH grams AS (
+_COUNTED = r"""
+SELECT tri, count_if(NOT ended) AS inside, count_if(ended) AS ends FROM (
   SELECT substring_index(g, ' ', 3) AS tri, substring_index(g, ' ', -1) = '¶' AS ended
   FROM (SELECT explode(regexp_extract_all(concat(words, ' ¶'), '(?=([^ ]+ [^ ]+ [^ ¶]+ [^ ]+))[^ ]+ ', 1)) AS g FROM {words})
-), tris AS (
-  SELECT tri, count_if(NOT ended) AS inside, count_if(ended) AS ends FROM grams GROUP BY tri
-), bis AS (
-  SELECT substring_index(tri, ' ', -2) AS bi, sum(inside) AS inside, sum(ends) AS ends FROM tris GROUP BY 1
+) GROUP BY tri
+"""
+
+_JUDGED = r"""
+WITH bis AS (
+  SELECT substring_index(tri, ' ', -2) AS bi, sum(inside) AS inside, sum(ends) AS ends FROM {tris} GROUP BY 1
 ), unis AS (
   SELECT substring_index(bi, ' ', -1) AS uni, sum(inside) AS inside, sum(ends) AS ends FROM bis GROUP BY 1
 ), contexts AS (
-  SELECT substring_index(tri, ' ', 2) AS pair, sum(inside + ends) AS seen FROM tris GROUP BY 1
+  SELECT substring_index(tri, ' ', 2) AS pair, sum(inside + ends) AS seen FROM {tris} GROUP BY 1
 ), firsts AS (
   SELECT substring_index(bi, ' ', 1) AS word, sum(inside + ends) AS seen FROM bis GROUP BY 1
 ), beginnings AS (
@@ -87,8 +90,8 @@ WITH grams AS (
     coalesce(t.inside, 0) AS i3, greatest(0, coalesce(t.ends, 1) - 1) AS e3, coalesce(b.inside, 0) AS i2, greatest(0, coalesce(b.ends, 1) - 1) AS e2,
     coalesce(u.inside, 0) AS i1, greatest(0, coalesce(u.ends, 1) - 1) AS e1, coalesce(y.inside + y.ends, 0) AS years, coalesce(p.of_inside, 0) AS begun
   FROM lasts l
-  LEFT JOIN tris t ON l.last3 = t.tri LEFT JOIN bis b ON l.last2 = b.bi LEFT JOIN unis u ON l.last1 = u.uni
-  LEFT JOIN tris y ON l.year3 = y.tri AND l.last1 = '⓪' LEFT JOIN beginnings p ON l.last1 = p.part
+  LEFT JOIN {tris} t ON l.last3 = t.tri LEFT JOIN bis b ON l.last2 = b.bi LEFT JOIN unis u ON l.last1 = u.uni
+  LEFT JOIN {tris} y ON l.year3 = y.tri AND l.last1 = '⓪' LEFT JOIN beginnings p ON l.last1 = p.part
 )
 SELECT *,
   CASE
@@ -108,7 +111,9 @@ def judged(texts: DataFrame) -> DataFrame:
     """``texts`` has record_set, row_key, text; one row for each text without a final stop, with counts and the verdict ``cut``."""
     spark = texts.sparkSession
     words = spark.sql(_WORDS.replace("{marks}", MARKS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")), texts=texts)
-    return spark.sql(_JUDGED, words=words, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
+    # Counted once: the pairs' and words' counts are sums of the trigrams', far fewer than the words of the texts.
+    tris = written(spark.sql(_COUNTED, words=words), "trigrams")
+    return spark.sql(_JUDGED, words=words, tris=tris, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
 
 
 def record_texts(spark: SparkSession, sf: str) -> DataFrame:
