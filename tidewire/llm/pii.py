@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -77,11 +77,13 @@ ADDRESS_ZH = re.compile(rf"(?:(?<=寄往)|(?<=住址为)|(?<=地址为)|(?<=地
 
 CAP = r"[A-ZÀ-Þ][a-zß-ÿĀ-ɏ'’]+"
 SURNAME = rf"{CAP}(?:-{CAP})*"
-PAIR = re.compile(rf"(?<![\w.@-])({CAP}) (?:([A-Z])\. ?)?({SURNAME})(?![\w@]|-\w)")
+#: Without width, so that overlapping pairs are all seen.
+PAIR = re.compile(rf"(?<![\w.@-])(?=({CAP}) (?:([A-Z])\. ?)?({SURNAME})(?![\w@]|-\w))")
 INITIAL = re.compile(rf"(?<![\w.@-])(?:[A-Z]\. ?){{1,2}}({SURNAME})(?![\w@]|-\w)")
 REVERSED = re.compile(rf"(?<![\w.@-])({SURNAME}), ({CAP})(?: [A-Z]\.)?(?![\w@]|-\w)")
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Col|Colonel|Gen|General|Capt|Captain|Maj|Major|Sgt|Lt|Rev|Sir|Dame|Lord|Lady|Judge|Sen|Rep|Gov"
 TITLED = re.compile(rf"(?<![\w.@-])(?:{TITLES})\.? +(?:(?:{CAP}|[A-Z]\.) (?:[A-Z]\. ?)?)?({SURNAME})(?![\w@]|-\w)")
+TITLE_WORDS = frozenset(TITLES.split("|"))
 TITLE_WORD = re.compile(rf"(?:{TITLES})\.? +")
 CAPITALISED = re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿĀ-ɏ'’]+")
 #: Chinese cues around a name, fixed values; the corpus decides which of their pairs reveal one.
@@ -92,11 +94,11 @@ CUED = re.compile("({})({}{{2,4}}?)({})".format(*("|".join(re.escape(c.translate
 #: Characters within which an entity counts as near.
 NEAR = 80
 #: A term is learned only above this share of documents and this count.
-SUPPORT, LEAST = 2e-4, 3
+SUPPORT, LEAST = 2e-4, 2
 #: Above this share of documents a capitalised word is common, and no surname.
 COMMON = 2e-3
 #: Bits of mutual information with protected entities above which a term is held to reveal a person; bits of entropy of what a cue pair holds.
-DISCLOSURE, VARIETY = 0.5, 2.0
+DISCLOSURE, VARIETY = 3.0, 2.0
 
 Span = tuple[int, int, str]
 
@@ -138,28 +140,52 @@ def _near(spans: list[Span], starts: list[int], a: int, b: int) -> bool:
     return any(0 <= k < len(spans) and spans[k][0] - b <= NEAR and a - spans[k][1] <= NEAR for k in (i - 1, i))
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by kind of term: word (occurrences), pair (a capitalised word before another: occurrences, near an entity), cue."""
+GATHERED = "doc_id long, found array<struct<rule:string,a:int,b:int,term:string,other:string,near:boolean>>, word string, n long"
+_FOUND = pa.list_(pa.struct([("rule", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("term", pa.string()), ("other", pa.string()), ("near", pa.bool_())]))
+
+
+def candidates(t: str) -> list[tuple[str, int, int, str, str, bool]]:
+    """Protected mentions (rule: their kind) and what may be names (rule: the form), in the order in which they are decided."""
+    spans = protected(t)
+    starts = [s[0] for s in spans]
+    out = [(k, a, b, "", "", True) for a, b, k in spans]
+
+    def add(rule: str, a: int, b: int, term: str, other: str) -> None:
+        i = bisect_left(starts, b)
+        if i and spans[i - 1][1] > a:
+            return
+        out.append((rule, a, b, term, other, _near(spans, starts, a, b)))
+
+    for m in TITLED.finditer(t):
+        add("titled", TITLE_WORD.match(t, m.start()).end(), m.end(), "", m[1])
+    for m in PAIR.finditer(t):
+        if m[3] not in TITLE_WORDS:
+            add("pair", m.start(), m.end(3), m[1], m[3])
+    for m in REVERSED.finditer(t):
+        add("reversed", m.start(), m.end(), m[2], m[1])
+    for m in INITIAL.finditer(t):
+        add("initial", m.start(), m.end(), "", m[1])
+    if not t.isascii():
+        for m in CUED.finditer(t):
+            add("cued", m.start(2), m.end(2), f"{m[1]}|{m[3]}", m[2])
+    return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one pass over the texts: each document's candidates, and counts of capitalised words."""
     for b in batches:
-        words, pairs, near, cues = Counter(), Counter(), Counter(), Counter()
-        for text in b.column(0).to_pylist():
+        words, docs, found = Counter(), [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             t = same_length(text)
-            spans = protected(t)
-            starts = [s[0] for s in spans]
             words.update(CAPITALISED.findall(t))
-            for m in PAIR.finditer(t):
-                key = m[1], m[3]
-                pairs[key] += 1
-                near[key] += _near(spans, starts, m.start(), m.end())
-            if not t.isascii():
-                for m in CUED.finditer(t):
-                    key = f"{m[1]}|{m[3]}", m[2]
-                    cues[key] += 1
-                    near[key] += _near(spans, starts, m.start(), m.end())
-        rows = [("word", w, "", n, 0) for w, n in words.items()]
-        rows += [("pair", a, c, n, near[a, c]) for (a, c), n in pairs.items()]
-        rows += [("cue", a, c, n, near[a, c]) for (a, c), n in cues.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "term", "other", "n", "near"), r)) for r in rows], pa.schema([("kind", pa.string()), ("term", pa.string()), ("other", pa.string()), ("n", pa.int64()), ("near", pa.int64())]))
+            if c := candidates(t):
+                docs.append(doc)
+                found.append([dict(zip(("rule", "a", "b", "term", "other", "near"), x)) for x in c])
+        k, w = len(docs), len(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs + [None] * w, pa.int64()), pa.array(found + [None] * w, _FOUND), pa.array([None] * k + list(words), pa.string()), pa.array([None] * k + list(words.values()), pa.int64())],
+            ["doc_id", "found", "word", "n"],
+        )
 
 
 class Terms:
@@ -169,90 +195,85 @@ class Terms:
         self.common, self.given, self.cues = common, given, cues
 
 
-def learn(texts: DataFrame) -> Terms:
+def gather(docs: DataFrame) -> DataFrame:
+    """All candidates of all documents, written once; everything after reads these few columns, not the texts."""
+    return written(docs.where("text IS NOT NULL").mapInArrow(_gathered, GATHERED), "candidates")
+
+
+def learn(gathered: DataFrame, docs: int) -> Terms:
     """Statistics over all documents; only terms above their support leave the aggregation."""
-    docs = texts.count()
-    stats = texts.mapInArrow(_statistics, "kind string, term string, other string, n long, near long").groupBy("kind", "term", "other").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
     least = max(float(LEAST), SUPPORT * docs)
-    stats = written(stats, "terms")
-    words = stats.where("kind = 'word'").select("term", "n")
-    common = words.where(F.col("n") >= max(20.0, COMMON * docs))
-    rare_pairs = stats.where("kind = 'pair'").join(common.select(F.substring_index("term", "-", 1).alias("first")), F.substring_index("other", "-", 1) == F.col("first"), "left_anti")
-    given = rare_pairs.where(~F.col("term").rlike(f"^(?:{TITLES})$")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.count("*").alias("kinds"))
-    total = given.agg(F.sum("n"), F.sum("near")).first()
+    each = gathered.where("found IS NOT NULL").select(F.explode("found").alias("c")).select("c.*")
+    stats = each.where("rule IN ('pair', 'cued')").groupBy("rule", "term", "other").agg(F.count("*").alias("n"), F.sum(F.col("near").cast("long")).alias("near"))
+    common = gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20.0, COMMON * docs)).select("word")
+    first = F.substring_index("other", "-", 1)
+    pairs = stats.where("rule = 'pair'").where(~F.col("term").rlike(f"^(?:{TITLES})$")).join(common.select(F.col("word").alias("first")), first == F.col("first"), "left_anti")
+    given = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.count("*").alias("kinds"))
+    given = written(given, "given")
+    total = stats.where("rule = 'pair'").agg(F.sum("n"), F.sum("near")).first()  # chance: all pairs of capitalised words
     base = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
     bits = F.log2(F.col("near") / F.col("n") / F.lit(base))
     given = given.where((F.col("n") >= least) & (F.col("kinds") * 2 > F.col("n")) & (F.col("near") > 0)).where(bits >= DISCLOSURE)
-    cue = stats.where("kind = 'cue'").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
-    cue = cue.where((F.col("n") >= LEAST) & (F.col("near") * 2 >= F.col("n")) & (F.col("entropy") >= VARIETY))
-    sets = [set(df.select("term").toArrow().column(0).to_pylist()) for df in (common, given, cue)]
-    return Terms(*sets)
+    cue = stats.where("rule = 'cued'").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
+    cue = cue.where((F.col("n") >= least) & (F.col("near") * 2 >= F.col("n")) & (F.col("entropy") >= VARIETY))
+    return Terms(*(set(df.toArrow().column(0).to_pylist()) for df in (common, given.select("term"), cue.select("term"))))
 
 
-def mentions(t: str, terms: Terms) -> list[Span]:
-    """All mentions in a text of plain forms, without overlaps, by position."""
-    spans = protected(t)
-    taken = list(spans)
-
-    def add(a: int, b: int) -> None:
+def decided(found: list[dict], terms: Terms) -> list[Span]:
+    """The mentions among a document's candidates, without overlaps, by position."""
+    taken: list[Span] = []
+    for c in found:
+        rule, a, b = c["rule"], c["a"], c["b"]
+        if rule in ("pair", "reversed") and c["term"] not in terms.given or rule == "cued" and c["term"] not in terms.cues:
+            continue
+        if rule in ("titled", "pair", "reversed", "initial"):
+            if any(p in terms.common for p in c["other"].split("-")):
+                continue
         if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, "name"))
-
-    def rare(surname: str) -> bool:
-        return all(p not in terms.common for p in surname.split("-"))
-
-    for m in TITLED.finditer(t):
-        if rare(m[1]):
-            add(m.start() + TITLE_WORD.match(t, m.start()).end() - m.start(), m.end())
-    for m in PAIR.finditer(t):
-        if m[1] in terms.given and rare(m[3]):
-            add(m.start(), m.end())
-    for m in REVERSED.finditer(t):
-        if m[2] in terms.given and rare(m[1]):
-            add(m.start(), m.end())
-    for m in INITIAL.finditer(t):
-        if rare(m[1]):
-            add(m.start(), m.end())
-    if not t.isascii():
-        for m in CUED.finditer(t):
-            if f"{m[1]}|{m[3]}" in terms.cues:
-                add(m.start(2), m.end(2))
+            taken.append((a, b, "name" if rule in ("titled", "pair", "reversed", "initial", "cued") else rule))
     return sorted(taken)
 
 
-def _each(terms: Terms, make: Callable[[pa.RecordBatch, list[list[Span]]], pa.RecordBatch]):
+def _decide(terms: Terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield make(b, [mentions(same_length(t), terms) if t else [] for t in b.column(1).to_pylist()])
+            rows = [(d, *s) for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in decided(f, terms)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "start_at", "end_at", "kind"])
 
     return run
 
 
-def _rows(b: pa.RecordBatch, spans: list[list[Span]]) -> pa.RecordBatch:
-    docs = b.column(0).to_pylist()
-    flat = [(d, k, a) for d, s in zip(docs, spans) for a, _, k in s]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())], ["doc_id", "kind", "start_at"])
+def mentions(docs: DataFrame) -> DataFrame:
+    """doc_id, start_at, end_at, kind of every mention in ``docs`` (doc_id, text)."""
+    gathered = gather(docs)
+    terms = learn(gathered, docs.count())
+    return gathered.where("found IS NOT NULL").select("doc_id", "found").mapInArrow(_decide(terms), "doc_id long, start_at long, end_at long, kind string")
 
 
-def _clean(b: pa.RecordBatch, spans: list[list[Span]]) -> pa.RecordBatch:
-    out = []
-    for text, s in zip(b.column(1).to_pylist(), spans):
-        parts, at = [], 0
-        for a, e, kind in s:
-            parts += [text[at:a], f"[{kind.upper()}]"]
-            at = e
-        out.append("".join([*parts, text[at:]]) if text is not None else None)
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int64())], ["doc_id", "clean_text", "n_mentions"])
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    terms = learn(docs.where("text IS NOT NULL").select("text"))
-    return docs.where("text IS NOT NULL").mapInArrow(_each(terms, _rows), "doc_id long, kind string, start_at long")
+    return mentions(documents(spark, sf)).select("doc_id", "kind", "start_at")
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            parts, at = [], 0
+            for s in spans or []:
+                parts += [text[at : s["start_at"]], f"[{s['kind'].upper()}]"]
+                at = s["end_at"]
+            out.append(text if text is None else "".join([*parts, text[at:]]))
+        n = [len(s or []) for s in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64())], ["doc_id", "clean_text", "n_mentions"])
 
 
 def redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text with typed placeholders in place of its mentions."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    terms = learn(docs.where("text IS NOT NULL").select("text"))
-    return docs.mapInArrow(_each(terms, _clean), "doc_id long, clean_text string, n_mentions long")
+    docs = documents(spark, sf)
+    # A document's mentions are bounded by its text, so they make one array.
+    spans = mentions(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "kind"))).alias("spans"))
+    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_replaced, "doc_id long, clean_text string, n_mentions long")
