@@ -68,28 +68,26 @@ SELECT tri, count_if(NOT ended) AS inside, count_if(ended) AS ends FROM (
 ) GROUP BY tri
 """
 
+_LASTS = r"""
+  SELECT record_set, row_key, cut_markup, open_end, marked, last3, substring_index(last3, ' ', -2) AS last2, substring_index(last3, ' ', -1) AS last1,
+    concat(substring_index(last3, ' ', 2), ' ④') AS year3
+  FROM (SELECT *, substring_index(words, ' ', -3) AS last3 FROM {words} WHERE cut_markup OR NOT stopped)
+"""
+
 _JUDGED = r"""
 WITH bis AS (
   SELECT substring_index(tri, ' ', -2) AS bi, sum(inside) AS inside, sum(ends) AS ends FROM {tris} GROUP BY 1
 ), unis AS (
   SELECT substring_index(bi, ' ', -1) AS uni, sum(inside) AS inside, sum(ends) AS ends FROM bis GROUP BY 1
-), contexts AS (
-  SELECT substring_index(tri, ' ', 2) AS pair, sum(inside + ends) AS seen FROM {tris} GROUP BY 1
-), firsts AS (
-  SELECT substring_index(bi, ' ', 1) AS word, sum(inside + ends) AS seen FROM bis GROUP BY 1
 ), beginnings AS (
   SELECT left(uni, k) AS part, max(inside) AS of_inside FROM (
     SELECT uni, inside, explode(sequence(1, length(uni) - 1)) AS k FROM unis WHERE inside >= {often} AND length(uni) > 1
   ) GROUP BY 1
-), lasts AS (
-  SELECT record_set, row_key, cut_markup, open_end, marked, last3, substring_index(last3, ' ', -2) AS last2, substring_index(last3, ' ', -1) AS last1,
-    concat(substring_index(last3, ' ', 2), ' ④') AS year3
-  FROM (SELECT *, substring_index(words, ' ', -3) AS last3 FROM {words} WHERE cut_markup OR NOT stopped)
 ), counted AS (
   SELECT l.*,
     coalesce(t.inside, 0) AS i3, greatest(0, coalesce(t.ends, 1) - 1) AS e3, coalesce(b.inside, 0) AS i2, greatest(0, coalesce(b.ends, 1) - 1) AS e2,
     coalesce(u.inside, 0) AS i1, greatest(0, coalesce(u.ends, 1) - 1) AS e1, coalesce(y.inside + y.ends, 0) AS years, coalesce(p.of_inside, 0) AS begun
-  FROM lasts l
+  FROM {lasts} l
   LEFT JOIN {tris} t ON l.last3 = t.tri LEFT JOIN bis b ON l.last2 = b.bi LEFT JOIN unis u ON l.last1 = u.uni
   LEFT JOIN {tris} y ON l.year3 = y.tri AND l.last1 = '⓪' LEFT JOIN beginnings p ON l.last1 = p.part
 )
@@ -113,7 +111,9 @@ def judged(texts: DataFrame) -> DataFrame:
     words = spark.sql(_WORDS.replace("{marks}", MARKS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")), texts=texts)
     # Counted once: the pairs' and words' counts are sums of the trigrams', far fewer than the words of the texts.
     tris = written(spark.sql(_COUNTED, words=words), "trigrams")
-    return spark.sql(_JUDGED, words=words, tris=tris, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
+    # Written as well: else every filter that Spark derives from a join reads the texts again.
+    lasts = written(spark.sql(_LASTS, words=words), "last-trigrams")
+    return spark.sql(_JUDGED, lasts=lasts, tris=tris, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
 
 
 def record_texts(spark: SparkSession, sf: str) -> DataFrame:
