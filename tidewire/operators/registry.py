@@ -19,15 +19,19 @@ def ordered_union(old: Column, new: Column, n: int) -> Column:
 
 
 def batch_records(items: DataFrame) -> DataFrame:
-    """``items``: event, day, item, grp, title, ts. One record for each event of a batch; its arrays are cut in the
-    aggregation's own rows, by order, before they are kept."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("day", "ts", "item"))), lambda x: x["item"])
-    return items.groupBy("event").agg(
-        F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("n_updates"),
-        last(F.array_distinct(ids), LIMITS.evidence[2]).alias("items"),
-        F.slice(F.array_sort(F.collect_set("grp")), 1, LIMITS.evidence[1]).alias("groups"),
-        F.max_by("title", F.struct("day", "ts", "item")).alias("title"),
-    )
+    """``items``: event, day, item, grp, title, ts. One record for each event of a batch.
+
+    Ids and groups are cut to their caps by rank before they are collected, so a hot event makes no large array; all
+    parts are partitioned by event, and their joins need no further shuffle of them.
+    """
+    from tidewire.operators.selection import first_per_key
+
+    spans = items.groupBy("event").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("n_updates"), F.max_by("title", F.struct("day", "ts", "item")).alias("title"))
+    latest = first_per_key(items.select("event", "day", "ts", "item"), ["event"], [F.desc("day"), F.desc("ts"), F.desc("item")], LIMITS.evidence[2])
+    ids = latest.groupBy("event").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("day", "ts", "item"))), lambda x: x["item"])).alias("items"))
+    few = first_per_key(items.select("event", "grp").distinct(), ["event"], [F.asc("grp")], LIMITS.evidence[1])
+    groups = few.groupBy("event").agg(F.array_sort(F.collect_list("grp")).alias("groups"))
+    return spans.join(ids, "event").join(groups, "event", "left").select("event", "first_seen", "last_seen", "n_updates", "items", F.coalesce("groups", F.array().cast("array<string>")).alias("groups"), "title")
 
 
 def upsert(state: DataFrame, batch: DataFrame, today: Column, retention: int = LIMITS.retention_days) -> DataFrame:

@@ -17,7 +17,8 @@ def capped_per_key(df: DataFrame, key: str, order: list[Column], cap: int, limit
 
     Rows within their cap come first, then the others, both in order; so one ranking and one bounded sort do.
     """
-    placed = df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    # No key can fill more than ``limit`` places; the filter lets Spark cut hot keys before the shuffle.
+    placed = df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= limit)
     return placed.withColumn("over", F.col("place") > cap).orderBy("over", *order).limit(limit)
 
 
