@@ -105,14 +105,22 @@ FROM counted
 """
 
 
+def in_words(texts: DataFrame) -> DataFrame:
+    marks = MARKS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
+    return texts.sparkSession.sql(_WORDS.replace("{marks}", marks), texts=texts)
+
+
 def judged(texts: DataFrame) -> DataFrame:
     """``texts`` has record_set, row_key, text; one row for each text without a final stop, with counts and the verdict ``cut``."""
     spark = texts.sparkSession
-    words = spark.sql(_WORDS.replace("{marks}", MARKS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")), texts=texts)
+    words = in_words(texts)
     # Counted once: the pairs' and words' counts are sums of the trigrams', far fewer than the words of the texts.
     tris = written(spark.sql(_COUNTED, words=words), "trigrams")
     # Written as well: else every filter that Spark derives from a join reads the texts again.
-    lasts = written(spark.sql(_LASTS, words=words), "last-trigrams")
+    # A text whose last character is a single stop, outside markup, is complete; its words are not made again.
+    ended = F.col("text").rlike(r"[^.。…][.!?。！？]$") & ~F.col("text").rlike(r"<[^<>]*$")
+    unended = in_words(texts.where(F.col("text").isNotNull() & ~ended))
+    lasts = written(spark.sql(_LASTS, words=unended), "last-trigrams")
     return spark.sql(_JUDGED, lasts=lasts, tris=tris, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
 
 
