@@ -100,6 +100,30 @@ def test_hot_buckets_are_linked_through_leaders(spark):
         neardup.bucket_pairs.__defaults__ = (old,)
 
 
+@pytest.mark.parametrize("found", ["by leaders", "by no key"])
+def test_chains_of_edits_stay_one_group(spark, monkeypatch, found):
+    """Each version is like its neighbours only; hot keys absorb some of them, and without any band key none is linked."""
+    monkeypatch.setattr(neardup.bucket_pairs, "__defaults__", (8,))
+    if found == "by no key":
+        monkeypatch.setattr(neardup, "links", lambda sets, threshold: sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+    words = [f"c{i}" for i in range(400)]
+    texts = {i: " ".join(words[4 * i : 4 * i + 20]) for i in range(60)} | {100 + i: f"{' '.join(words[:12])} {' '.join(f'e{i}x{j}' for j in range(4))}" for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {(r[0], r[1]) for r in neardup.group_pairs(neardup.groups(df, "id", F.col("text"))).collect()}
+    assert got == closed(texts)
+
+
+def test_family_whose_common_words_are_frequent(spark):
+    """A third of the rows are versions of one story, with six own words each: only frequent words are shared."""
+    rng = random.Random(3)
+    story = [f"s{i}" for i in range(26)]
+    texts = {i: " ".join(rng.sample(story, 25) + [f"own{i}x{j}" for j in range(6)]) for i in range(120)}
+    texts |= {1000 + i: " ".join(f"z{i}x{j}" for j in range(30)) for i in range(240)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {(r[0], r[1]) for r in neardup.group_pairs(neardup.groups(df, "id", F.col("text"))).collect()}
+    assert got == closed(texts) and len(got) == 120 * 119 // 2
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_row long, edition_date date, id string, category string, country string, source string, score int, published_at timestamp")
 

@@ -13,6 +13,13 @@ two coordinates; so a pair whose largest coordinate difference exceeds what
 the threshold allows is discarded without loss. Survivors are verified
 exactly, and groups are closed under likeness.
 
+Band keys and leaders only find most links cheaply. What they miss is found
+without loss by ``missed_links``: with all tokens in one fixed order, rare ones
+first, two alike sets share a token among the first 40 % (and one) of each, at
+places that leave room for the overlap they need. Classes that meet on such a
+token and are not in one group yet are held against each other, first by the
+Hamming distance of a folded fingerprint, which loses no pair, then exactly.
+
 Defined results: null and empty texts, and texts without a token, belong to no
 group; equal rows group together; an empty table gives an empty result; ties
 cannot occur, as the smallest key names a group; other columns of the input
@@ -39,6 +46,10 @@ BANDS, ROWS = 32, 3
 MIN_RARE = 1
 FEW_RARE, WHOLE_BANDS, WHOLE_ROWS = 5, 16, 6
 FINGERPRINT_BITS, PIVOTS = 512, 64
+#: The order of tokens ranks those in so large a share of all sets by their count, after all others.
+RANKED, LEAST_RANKED = 0.0005, 20
+#: Bits of the fingerprint that travels with a prefix token; blocks and short runs of classes that share one.
+PREFIX_BITS, BLOCK, SHORT = 256, 1024, 48
 #: A bucket with more classes than this is linked through leaders, round by round.
 HOT, LEADERS = 1024, 8
 
@@ -317,6 +328,135 @@ def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
+def ranked_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens in at least RANKED of all sets, sorted, and their places in the order by count. Bounded like ``frequent_tokens``."""
+    n = sets.count()
+    df = sets.select("toks").mapInArrow(_token_counts, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df"))
+    rows = df.where(F.col("df") >= max(float(LEAST_RANKED), RANKED * n)).toArrow()
+    toks, counts = rows.column("tok").to_numpy(), rows.column("df").to_numpy()
+    place = np.empty(len(toks), np.int64)
+    place[np.lexsort((toks, counts))] = np.arange(len(toks))
+    by = np.argsort(toks)
+    return toks[by].astype(np.uint32), place[by]
+
+
+def prefixes(tokens: np.ndarray, offsets: np.ndarray, ranked: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and place of every set's first tokens in the order, as many as can hold the first that an alike set shares."""
+    sizes = np.diff(offsets)
+    rows, order = np.repeat(np.arange(len(sizes)), sizes), tokens.astype(np.int64)
+    if len(ranked[0]) and len(tokens):
+        at = np.minimum(np.searchsorted(ranked[0], tokens), len(ranked[0]) - 1)
+        order = np.where(ranked[0][at] == tokens, ranked[1][at] + 2**32, order)
+    by = np.lexsort((order, rows))
+    place = np.arange(len(tokens)) - offsets[:-1][rows]
+    keep = place <= (sizes - np.ceil(threshold * sizes - 1e-6))[rows]
+    return rows[keep], tokens[by][keep], place[keep]
+
+
+def most_partner(n: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest size of an alike set whose first token in common stands at this place."""
+    return np.floor((n - place) * (1 + threshold) / threshold - n + 1e-6).astype(np.int32)
+
+
+def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """The sets' fingerprints, packed to bytes."""
+    n = len(offsets) - 1
+    marks = np.zeros((n, bits), np.uint8)
+    marks[np.repeat(np.arange(n), np.diff(offsets)), (tokens >> np.uint32(7)) % np.uint32(bits)] = 1
+    return np.packbits(marks, axis=1)
+
+
+def _prefix_rows(ranked: tuple[np.ndarray, np.ndarray], threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, offsets = _flat(b.column(2), np.uint32)
+            n = np.diff(offsets)
+            row, token, place = prefixes(tokens, offsets, ranked, threshold)
+            bits = folded(tokens, offsets, PREFIX_BITS)[row]
+            at = np.arange(len(row) + 1) * (PREFIX_BITS // 8)
+            most = most_partner(n[row], place, threshold)
+            ids = (pa.array(b.column(i).to_numpy()[row]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), *ids, pa.array(n[row].astype(np.int32)), pa.array(most), _binary(bits.ravel(), at)], ["key", "cls", "grp", "n", "most", "bits"])
+
+    return run
+
+
+def _near_of_runs(threshold: float):
+    """Rows arrive sorted by key and size. Pairs of one key, of different groups, that size, place and fingerprint allow."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def short_runs(key, cls, grp, n, most, bits) -> Iterator[pa.RecordBatch]:
+        words, at, d = np.ascontiguousarray(bits).view(np.uint64), np.arange(len(key)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[key[at + d] == key[at]]
+            i = at[(n[at + d] <= most[at]) & (n[at] <= most[at + d]) & (grp[at] != grp[at + d])]
+            i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= (n[i] + n[i + d]) * share + 1e-6]
+            if len(i):
+                yield out(cls[i], cls[i + d])
+
+    def long_run(cls, grp, n, most, bits) -> Iterator[pa.RecordBatch]:
+        if (grp == grp[0]).all():
+            return
+        for s in range(0, len(cls), BLOCK):
+            e = min(len(cls), s + BLOCK)
+            marks = np.unpackbits(bits[s:e], axis=1).astype(np.float32)
+            need = marks.sum(axis=1) - n[s:e] * share
+            left = np.concatenate([2 * marks, -need[:, None], np.ones((e - s, 1))], axis=1, dtype=np.float32)
+            others = s + np.flatnonzero((n[s:] <= most[s:e].max()) & (most[s:] >= n[s]))
+            for o in range(0, len(others), 4 * BLOCK):
+                j = others[o : o + 4 * BLOCK]
+                marks = np.unpackbits(bits[j], axis=1).astype(np.float32)
+                need = marks.sum(axis=1) - n[j] * share
+                right = np.concatenate([marks, np.ones((len(j), 1)), -need[:, None]], axis=1, dtype=np.float32)
+                a, b = np.divmod(np.flatnonzero((left @ right.T).ravel() >= -0.01), len(j))
+                a, b = a + s, j[b]
+                ok = (a < b) & (grp[a] != grp[b]) & (n[b] <= most[a]) & (n[a] <= most[b])
+                if ok.any():
+                    yield out(cls[a[ok]], cls[b[ok]])
+
+    def whole_runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(cols[0]):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        sizes = np.diff(np.append(starts, len(cols[0])))
+        small = np.repeat(sizes <= SHORT, sizes)
+        yield from short_runs(*(c[small] for c in cols))
+        for k in np.flatnonzero(sizes > SHORT):
+            yield from long_run(*(c[starts[k] : starts[k] + sizes[k]] for c in cols[1:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy() for i in range(5)] + [_flat(b.column(5), np.uint8)[0].reshape(-1, PREFIX_BITS // 8)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and (last or held[-1][0][-1] != cols[0][0]):  # a run ends here
+                yield from whole_runs([np.concatenate(c) for c in zip(*held, [c[:last] for c in cols], strict=True)])
+                held = []
+            elif last:
+                yield from whole_runs([c[:last] for c in cols])
+            held.append([c[last:].copy() for c in cols])
+        if held:
+            yield from whole_runs([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def missed_links(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All links between classes that ``label`` (node, grp) does not put in one group yet, so that none is missing."""
+    named = sets.select("cls", "toks").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("grp", "cls").alias("grp"), "toks")
+    rows = named.mapInArrow(_prefix_rows(ranked_tokens(sets), threshold), "key long, cls long, grp long, n int, most int, bits binary")
+    by_key = rows.repartition("key").sortWithinPartitions("key", "n")
+    near = written(by_key.mapInArrow(_near_of_runs(threshold), "a long, b long"), "missed")
+    return written(alike_pairs(near, sets, threshold), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Each linked node's group, named by the group's smallest node: smallest neighbour, then jumps over labels, until nothing changes."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other"), "edges")
@@ -336,7 +476,11 @@ def groups(df: DataFrame, key: str, text: F.Column, threshold: float = THRESHOLD
     """``row`` and ``grp`` of every row that has a near-duplicate or copy, one row for each."""
     texts = df.select(F.col(key).cast("long").alias("row"), text.alias("text"))
     members, sets = table_of_sets(texts)
-    label = components(links(sets, threshold))
+    edges = links(sets, threshold)
+    label = components(edges)
+    missed = missed_links(sets, label, threshold)
+    if not missed.isEmpty():
+        label = components(edges.union(missed))
     copies = members.groupBy("cls").agg(F.count("*").alias("m"))
     wanted = copies.where("m > 1").select("cls").union(label.select("node")).distinct()
     of = members.join(wanted, "cls", "left_semi").join(label.withColumnRenamed("node", "cls"), "cls", "left")
