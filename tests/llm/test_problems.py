@@ -215,6 +215,17 @@ def test_history(spark, tmp_path):
     assert got == want
 
 
+def test_history_of_a_much_varied_headline(spark):
+    """The incoming title shares only frequent words with the accepted ones."""
+    head = [f"head{i}" for i in range(8)]
+    old = [(i, None, " ".join([*head, f"own{i}"])) for i in range(120)]
+    new = [(1, None, " ".join([*head, "fresh"])), (2, None, "nothing in common with it")]
+    schema = "row long, nid string, title string"
+    store = history.AcceptedStore(spark)
+    store.found(spark.createDataFrame(old, schema))
+    assert {r["row"] for r in store.probe(spark.createDataFrame(new, schema)).where("repeat").collect()} == {1}
+
+
 def test_packing():
     assert packing.best_fill([(5, 2), (3, 3)], 11) == (11, {5: 1, 3: 2})
     rng = random.Random(10)

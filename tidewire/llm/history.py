@@ -1,18 +1,20 @@
 """Problem 4: new batches held against everything accepted, without reading the history's texts again.
 
 A store in the shared folder keeps, for every accepted text class (texts with
-the same tokens), minwise band keys each with a 64-bit signature, the token
-set, and the accepted ids; each table is bucketed by hash, so a probe moves
-only the batch and meets only matching buckets. A candidate must agree in
-enough of the signature, then likeness is verified exactly on the sets.
+the same tokens), its prefix tokens (see ``neardup.prefixes``) each with a
+64-bit fingerprint, the token set, and the accepted ids; each table is bucketed
+by hash, so a probe moves only the batch and meets only matching buckets. Two
+alike titles always share a prefix token, and their fingerprints differ in no
+more bits than they may differ in tokens; what passes is verified exactly on
+the sets, so no link is lost.
 Within a batch the same keys give the links between its rows; rows are then
 decided in their order: a row is a repeat if it is linked to an accepted row,
 else it is accepted itself. That is done for all rows at once, in rounds: what
 has no earlier undecided neighbour is accepted, its neighbours are repeats.
 Accepted rows' keys, sets and ids are appended to the store.
 
-The frequent tokens that band keys pass over are counted when the store is
-founded, over the whole history, and kept with it.
+The order of the tokens is fixed when the store is founded, from counts over
+the whole history, and kept with it.
 
 Defined results: a null or blank id equals nothing, a title without tokens is
 like nothing, and a row with neither is accepted; copies within a batch repeat
@@ -33,15 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import textops as X
-from tidewire.llm.neardup import _binary, _flat, _verified, class_hash, frequent_tokens, keys_of_rare
+from tidewire.llm.neardup import _binary, _flat, _verified, class_hash, folded, most_partner, prefixes, ranked_tokens
 from tidewire.llm.topn import ENDS
 from tidewire.shared import shared_dir, written
 
 THRESHOLD = 0.6
-FREQUENT, BANDS, ROWS = 0.002, 14, 2
-#: The signature: 32 minwise values, two bits each. Two unlike sets agree in a quarter of the values by chance;
-#: sets that share 60 % agree in fewer than AGREE with a chance of two in a thousand.
-AGREE = 15
+#: Bits of the fingerprint, and the share of two sets' tokens together in which alike ones can differ.
+BITS, DIFFER = 64, (1 - THRESHOLD) / (1 + THRESHOLD)
+NO_ORDER = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
 
 def normal_id(c: Column) -> Column:
@@ -49,11 +50,6 @@ def normal_id(c: Column) -> Column:
     return F.when(x != "", x)
 
 
-def signatures(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    bits = (X.min_hashes(tokens, offsets, 32, seed=5) >> np.uint32(9)) & np.uint32(3)
-    return (bits.astype(np.uint64) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, nid, title -> row, nid, cls, toks; a title without tokens has neither class nor tokens."""
     for b in batches:
@@ -63,33 +59,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cls, _binary(tokens, offsets)], ["row", "nid", "cls", "toks"])
 
 
-def _keys(frequent: np.ndarray):
+def _keys(ranked: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, offsets = _flat(b.column(1), np.uint32)
             if not b.num_rows:
                 continue
-            keys, sig = keys_of_rare(tokens, offsets, frequent, BANDS, ROWS), signatures(tokens, offsets)
-            cols = keys.ravel().view(np.int64), np.repeat(b.column(0).to_numpy(), BANDS), np.repeat(sig.view(np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "sig"])
+            row, token, place = prefixes(tokens, offsets, ranked, THRESHOLD)
+            n, sig = np.diff(offsets)[row], folded(tokens, offsets, BITS).view(np.int64).ravel()[row]
+            cols = token.astype(np.int64), b.column(0).to_numpy()[row], n.astype(np.int32), most_partner(n, place, THRESHOLD), sig
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "most", "sig"])
 
     return run
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """In how many of the 32 two-bit values two signatures agree."""
-    x = a.bitwiseXOR(b)
-    differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return F.lit(32) - F.bit_count(differ)
-
-
 class AcceptedStore:
     """What has been accepted so far. ``sets`` of the history are needed only once, to found the store."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.parts = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"accepted_{uuid.uuid4().hex}"
-        self.frequent = np.zeros(0, np.uint32)
+        self.ranked = NO_ORDER
 
     def _append(self, df: DataFrame, what: str, key: str) -> None:
         table = f"{self.name}_{what}"
@@ -105,11 +95,11 @@ class AcceptedStore:
         own = sets.where("cls IS NOT NULL").select("cls", "toks").dropDuplicates(["cls"])
         self._append(own, "sets", "cls")
         self._append(rows.where("nid IS NOT NULL").select("nid").distinct(), "ids", "nid")
-        self.frequent = frequent_tokens(self._table("sets"), FREQUENT)
+        self.ranked = ranked_tokens(self._table("sets"))
         self._append(self.postings(self._table("sets")), "keys", "key")
 
     def postings(self, sets: DataFrame) -> DataFrame:
-        return sets.select("cls", "toks").mapInArrow(_keys(self.frequent), "key long, cls long, sig long")
+        return sets.select("cls", "toks").mapInArrow(_keys(self.ranked), "key long, cls long, n int, most int, sig long")
 
     def append(self, rows: DataFrame) -> None:
         """Accept rows of a batch: row, nid, cls, toks."""
@@ -129,8 +119,9 @@ class AcceptedStore:
         rows = written(batch.mapInArrow(_sets, "row long, nid string, cls long, toks binary"), "batch")
         own = rows.where("cls IS NOT NULL").select("cls", "toks").dropDuplicates(["cls"])
         keys = written(self.postings(own), "batch-keys")
-        mine = keys.select("key", F.col("cls").alias("a"), F.col("sig").alias("sig_a"))
-        match = lambda other: mine.hint("shuffle_hash").join(other.select("key", F.col("cls").alias("b"), "sig"), "key").where(agreeing(F.col("sig_a"), F.col("sig")) >= AGREE).select("a", "b")
+        mine = keys.select("key", *(F.col(c).alias(x) for c, x in (("cls", "a"), ("n", "n_a"), ("most", "most_a"), ("sig", "sig_a"))))
+        near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig"))) <= (F.col("n_a") + F.col("n")) * DIFFER + 1e-6
+        match = lambda other: mine.hint("shuffle_hash").join(other.withColumnRenamed("cls", "b"), "key").where((F.col("n") <= F.col("most_a")) & (F.col("n_a") <= F.col("most")) & near).select("a", "b")
         same = self._table("sets").join(own.select("cls").hint("shuffle_hash"), "cls", "left_semi").select(F.col("cls").alias("a"))
         alike = self._verify(match(self._table("keys")), own, self._table("sets")).select("a")
         known = alike.union(same).distinct().select(F.col("a").alias("cls"), F.lit(True).alias("by_title"))
