@@ -86,44 +86,63 @@ def test_pivot_tables_discard_no_alike_pair():
             assert np.abs(piv[a] - piv[b]).max() <= neardup.allowed_difference(n[a], n[b], 0.6)
 
 
-def test_hot_buckets_are_linked_through_leaders(spark):
-    base = [f"h{i}" for i in range(40)]
-    texts = {i: " ".join([*base, f"extra{i}"]) for i in range(60)}
+def grouped(spark, texts):
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    old, neardup.HOT = neardup.HOT, 8
-    neardup.bucket_pairs.__defaults__ = (8,)
-    try:
-        got = neardup.groups(df, "id", F.col("text"))
-        assert got.count() == 60 and got.select("grp").distinct().count() == 1
-    finally:
-        neardup.HOT = old
-        neardup.bucket_pairs.__defaults__ = (old,)
-
-
-@pytest.mark.parametrize("found", ["by leaders", "by no key"])
-def test_chains_of_edits_stay_one_group(spark, monkeypatch, found):
-    """Each version is like its neighbours only; hot keys absorb some of them, and without any band key none is linked."""
-    monkeypatch.setattr(neardup.bucket_pairs, "__defaults__", (8,))
-    if found == "by no key":
-        monkeypatch.setattr(neardup, "links", lambda sets, threshold: sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+    return {(r[0], r[1]) for r in neardup.group_pairs(neardup.groups(df, "id", F.col("text"))).collect()}
+
+
+def test_hot_buckets_are_linked_whole(spark, monkeypatch):
+    """Each version is like its neighbours only, and every bucket with more than a few classes is hot."""
+    monkeypatch.setattr(neardup, "HOT", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
     words = [f"c{i}" for i in range(400)]
     texts = {i: " ".join(words[4 * i : 4 * i + 20]) for i in range(60)} | {100 + i: f"{' '.join(words[:12])} {' '.join(f'e{i}x{j}' for j in range(4))}" for i in range(60)}
-    df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = {(r[0], r[1]) for r in neardup.group_pairs(neardup.groups(df, "id", F.col("text"))).collect()}
-    assert got == closed(texts)
+    assert grouped(spark, texts) == closed(texts)
 
 
-def test_family_whose_common_words_are_frequent(spark):
+@pytest.mark.parametrize("mega", [0.001, 0.2])
+def test_frequent_tokens_alone_link_a_family(spark, monkeypatch, mega):
     """A third of the rows are versions of one story, with six own words each: only frequent words are shared."""
+    monkeypatch.setattr(neardup, "RARE", 8)
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "SAMPLE", 2)
+    monkeypatch.setattr(neardup, "MEGA", mega)
+    monkeypatch.setattr(neardup.keys_of, "__defaults__", (8, neardup.BANDS, neardup.ROWS, 2))
     rng = random.Random(3)
     story = [f"s{i}" for i in range(26)]
     texts = {i: " ".join(rng.sample(story, 25) + [f"own{i}x{j}" for j in range(6)]) for i in range(120)}
     texts |= {1000 + i: " ".join(f"z{i}x{j}" for j in range(30)) for i in range(240)}
-    df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = {(r[0], r[1]) for r in neardup.group_pairs(neardup.groups(df, "id", F.col("text"))).collect()}
+    got = grouped(spark, texts)
     assert got == closed(texts) and len(got) == 120 * 119 // 2
 
 
+@pytest.mark.parametrize("n", [60, 1000, 5000])
+def test_families_of_any_size_come_out_whole(spark, n):
+    """The group is whole at every size, with production parameters; twice as many other rows beside it."""
+    texts = [(i, " ".join([*(f"s{j}" for j in range(30)), *(f"own{i}x{j}" for j in range(6))])) for i in range(n)]
+    texts += [(100_000 + i, " ".join(f"z{i}x{j}" for j in range(30))) for i in range(2 * n)]
+    out = neardup.groups(spark.createDataFrame(texts, "id long, text string"), "id", F.col("text")).collect()
+    assert len(out) == n and len({r["grp"] for r in out}) == 1 and max(r["row"] for r in out) == n - 1
+
+
+def test_keys_lose_no_alike_pair():
+    """Whatever counts as rare, two alike sets meet on a rare token, or have alike frequent parts, which only bands may miss."""
+    texts = list(edited(random.Random(5), 80).values())
+    flat, offsets = X.token_sets(texts)
+    counts = np.ones(neardup.SLOTS, np.uint16)
+    slots, n = np.unique(neardup.slot(flat), return_counts=True)
+    counts[slots] = n
+    for rare in (4, 1000):
+        row, key, most, band = neardup.keys_of(flat, offsets, counts, 0.6, rare=rare)
+        keys = [{k: m for k, m in zip(key[(row == i) & ~band], most[(row == i) & ~band])} for i in range(len(texts))]
+        sizes, common = np.diff(offsets), [set(flat[a:b][counts[neardup.slot(flat[a:b])] > rare]) for a, b in zip(offsets, offsets[1:])]
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if alike(texts[a], texts[b]):
+                met = any(sizes[b] <= keys[a][k] and sizes[a] <= keys[b][k] for k in keys[a].keys() & keys[b].keys())
+                assert met or len(common[a] & common[b]) >= 0.6 * len(common[a] | common[b])
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_row long, edition_date date, id string, category string, country string, source string, score int, published_at timestamp")
 
@@ -183,47 +202,102 @@ def test_truncation(spark):
     assert truncation.judged(df.limit(0)).count() == 0
 
 
-def test_history(spark, tmp_path):
-    rng = random.Random(9)
-    titles = [" ".join(rng.sample(WORDS, 9)) for _ in range(60)]
+ROWS = "row long, nid string, title string"
 
-    def near(t):
-        w = t.split()
-        w[rng.randrange(len(w))] = rng.choice(WORDS)
-        return " ".join(w)
 
-    old = [(i, f"id{i}", t) for i, t in enumerate(titles)] + [(900, None, None)]
-    new = [(i, rng.choice([f"ID{rng.randrange(90)} ", None, f"n{i % 7}"]), rng.choice([near(rng.choice(titles)), " ".join(rng.sample(WORDS, 9)), None, near(titles[0])])) for i in range(60)]
-    ids, texts, want = {x[1] for x in old} - {None}, [x[2] for x in old], set()
-    for i, key, t in new:
-        key = key.strip().lower() if key else None
-        if (key and key in ids) or any(alike(t, o) for o in texts):
+def clean(df):
+    return df.select("row", history.normal_id(F.col("nid")).alias("nid"), "title")
+
+
+def sequential(old, new):
+    """The repeats among ``new`` as a pass row by row finds them."""
+    key = lambda x: x.strip().lower() if x else None
+    ids, texts, want = {key(x[1]) for x in old} - {None}, [x[2] for x in old], set()
+    for i, nid, t in new:
+        nid = key(nid)
+        if (nid and nid in ids) or any(alike(t, o) for o in texts):
             want.add(i)
         else:
             texts.append(t)
-            ids |= {key} - {None}
-    schema = "row long, nid string, title string"
-    store = history.AcceptedStore(spark)
-    clean = lambda df: df.select("row", history.normal_id(F.col("nid")).alias("nid"), "title")
-    store.found(clean(spark.createDataFrame(old, schema)))
-    got = set()
-    for part in (new[:25], new[25:]):
-        held = store.probe(clean(spark.createDataFrame(part, schema)))
-        rows = held.select("row", "nid", "cls", "toks", "repeat").collect()
-        got |= {r["row"] for r in rows if r["repeat"]}
-        store.append(spark.createDataFrame([(r["row"], r["nid"], r["cls"], r["toks"]) for r in rows if not r["repeat"]], "row long, nid string, cls long, toks binary"))
-    assert got == want
+            ids |= {nid} - {None}
+    return want
+
+
+def new_store(spark, tmp_path, old):
+    return history.AcceptedStore.found(spark, f"file://{tmp_path}/store", clean(spark.createDataFrame(old, ROWS)))
+
+
+def repeats(store, spark, part):
+    """The repeats of a batch; the rest is appended."""
+    rows = store.probe(clean(spark.createDataFrame(part, ROWS))).select("row", "nid", "cls", "toks", "repeat").collect()
+    store.append(spark.createDataFrame([(r["row"], r["nid"], r["cls"], r["toks"]) for r in rows if not r["repeat"]], history.SETS))
+    return {r["row"] for r in rows if r["repeat"]}
 
 
-def test_history_of_a_much_varied_headline(spark):
-    """The incoming title shares only frequent words with the accepted ones."""
-    head = [f"head{i}" for i in range(8)]
-    old = [(i, None, " ".join([*head, f"own{i}"])) for i in range(120)]
-    new = [(1, None, " ".join([*head, "fresh"])), (2, None, "nothing in common with it")]
-    schema = "row long, nid string, title string"
-    store = history.AcceptedStore(spark)
-    store.found(spark.createDataFrame(old, schema))
-    assert {r["row"] for r in store.probe(spark.createDataFrame(new, schema)).where("repeat").collect()} == {1}
+def titles_of(rng, n):
+    titles = [" ".join(rng.sample(WORDS, 9)) for _ in range(n)]
+
+    def near(t):
+        w = t.split()
+        w[rng.randrange(len(w))] = rng.choice(WORDS)
+        return " ".join(w)
+
+    old = [(i, f"id{i}", t) for i, t in enumerate(titles)] + [(900, None, None)]
+    new = [(i, rng.choice([f"ID{rng.randrange(90)} ", None, f"n{i % 7}"]), rng.choice([near(rng.choice(titles)), " ".join(rng.sample(WORDS, 9)), None, near(titles[0])])) for i in range(n)]
+    return old, new
+
+
+@pytest.mark.parametrize("sent, segments", [(20_000, 16), (0, 1)])
+def test_history(spark, tmp_path, monkeypatch, sent, segments):
+    """Broadcast or shuffled, with and without compaction; every batch by a store opened anew."""
+    monkeypatch.setattr(history, "SENT", sent)
+    monkeypatch.setattr(history, "SEGMENTS", segments)
+    old, new = titles_of(random.Random(9), 60)
+    path, got = new_store(spark, tmp_path, old).path, set()
+    for part in (new[:20], new[20:40], new[40:]):
+        got |= repeats(history.AcceptedStore.open(spark, path), spark, part)
+    assert got == sequential(old, new)
+    first = history.AcceptedStore.open(spark, path, 0).probe(clean(spark.createDataFrame(new, ROWS)))
+    assert {r["row"] for r in first.where("repeat").collect()} == got
+
+
+def test_history_opened_in_another_session(spark, tmp_path):
+    """A store founded by one process serves another, which never sees the history's titles."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from tidewire.shared import ship_package; ship_package(s)
+from tidewire.llm import history
+history.AcceptedStore.found(s, "file://{tmp_path}/store", s.createDataFrame([(1, "a", "one two three four five six")], {ROWS!r}))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120)
+    store = history.AcceptedStore.open(spark, f"file://{tmp_path}/store")
+    assert repeats(store, spark, [(1, None, "one two three four five sex"), (2, "A", None), (3, "b", "quite other words")]) == {1, 2}
+
+
+def test_history_of_a_much_varied_headline(spark, tmp_path):
+    """The incoming titles share only frequent words with the accepted ones and with each other."""
+    head = [f"head{i}" for i in range(9)]
+    old = [(i, None, " ".join([*head, f"own{i}"])) for i in range(600)]
+    new = [(i, None, " ".join([*head, f"fresh{i}"])) for i in range(10)] + [(99, None, "nothing in common with it")]
+    assert repeats(new_store(spark, tmp_path, old), spark, new) == set(range(10))
+
+
+@pytest.mark.parametrize("hot", [1024, 20])
+def test_batch_with_a_family(spark, tmp_path, monkeypatch, hot):
+    """A third of a batch tells of one thing; in hot buckets only leaders meet all, and the result is a sequential pass's."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(history, "LEADERS", 4)
+    rng = random.Random(6)
+    head = [f"head{i}" for i in range(12)]
+    new = [(i, None, " ".join(rng.sample(head, 9) + [f"own{i}"])) for i in range(150)] + [(1000 + i, None, " ".join(rng.sample(WORDS, 9))) for i in range(150)]
+    assert repeats(new_store(spark, tmp_path, [(1, None, "no such words")]), spark, new) == sequential([], new)
 
 
 def test_packing():

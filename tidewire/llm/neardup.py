@@ -1,24 +1,33 @@
 """Problem 1: groups of near-duplicate texts.
 
 Texts are compared as token sets (see ``textops``). Rows with equal sets fall
-into one class first, so copies never meet pairwise. Candidate pairs of
-classes come from minwise bands over a class's rarer tokens: a token found in
-at least ``frequent`` of all rows says nothing about identity, and there are
-at most (tokens per row / ``frequent``) such tokens, which bounds what is sent
-to the tasks. Every class carries a pivot table: its Hamming distances, in a
-folded bit fingerprint of its set, to many fixed reference fingerprints. A
-distance in the fingerprint never exceeds the number of tokens in which two
-sets differ, and by the triangle inequality neither does the difference of
-two coordinates; so a pair whose largest coordinate difference exceeds what
-the threshold allows is discarded without loss. Survivors are verified
-exactly, and groups are closed under likeness.
-
-Band keys and leaders only find most links cheaply. What they miss is found
-without loss by ``missed_links``: with all tokens in one fixed order, rare ones
-first, two alike sets share a token among the first 40 % (and one) of each, at
-places that leave room for the overlap they need. Classes that meet on such a
-token and are not in one group yet are held against each other, first by the
-Hamming distance of a folded fingerprint, which loses no pair, then exactly.
+into one class first, so copies never meet pairwise. With all tokens in one
+order, rare ones first, two alike sets share a token among the first 40 % (and
+one) of each. Where the first token they share is in at most ``RARE`` sets,
+they meet on it: without loss, and a token's bucket is bounded whatever the
+table's size. Else everything they share is frequent, so their frequent parts
+alone are at least as alike as the whole sets: they meet on minwise bands over
+these parts. A family of any size makes its own common tokens frequent, so
+its members' frequent parts are nearly equal and meet almost surely.
+
+What is known of the tokens' counts is a table of fixed size: tokens that fall
+into one slot count together. A rare token that looks frequent costs nothing
+but speed, as any split of the tokens keeps both rules true.
+
+Within a bucket a pair goes on if its sizes leave room for the overlap needed
+and if their folded 128-bit fingerprints differ in no more bits than alike
+sets may differ in tokens; neither test loses a pair. Every class has a pivot
+table: its Hamming distances, in a 512-bit fingerprint, to fixed reference
+fingerprints. A pair whose largest coordinate difference exceeds what the
+threshold allows is discarded without loss; survivors are verified exactly,
+and groups are closed under likeness.
+
+Hot buckets (more than ``HOT`` classes) leave the stream. They are split into
+blocks; each class is held against its block's smallest class and these
+against the smallest of all, which joins a family with linear work. Then every
+class outside a bucket's largest group is held against all classes of the
+bucket that are in another group, block by block, so no link is lost. Buckets
+that a sample shows to hold ``MEGA`` of all classes never go through one task.
 
 Defined results: null and empty texts, and texts without a token, belong to no
 group; equal rows group together; an empty table gives an empty result; ties
@@ -40,18 +49,19 @@ from tidewire.llm import textops as X
 from tidewire.shared import scratch_path, written
 
 THRESHOLD = 0.6
-#: A token in this share of all sets, and in so many at least, tells nothing; small tables keep all that are rarer.
-FREQUENT, LEAST_FREQUENT = 0.002, 50
-BANDS, ROWS = 32, 3
-MIN_RARE = 1
-FEW_RARE, WHOLE_BANDS, WHOLE_ROWS = 5, 16, 6
+#: A token in more sets than this is frequent; a rare token's bucket holds no more classes.
+RARE = 256
+#: Bands over a set's frequent part, and minwise values of each.
+BANDS, ROWS = 24, 4
+#: Slots of the table of token counts: what is sent to the tasks is this large at most, whatever the input.
+SLOTS = 1 << 21
 FINGERPRINT_BITS, PIVOTS = 512, 64
-#: The order of tokens ranks those in so large a share of all sets by their count, after all others.
-RANKED, LEAST_RANKED = 0.0005, 20
-#: Bits of the fingerprint that travels with a prefix token; blocks and short runs of classes that share one.
-PREFIX_BITS, BLOCK, SHORT = 256, 1024, 48
-#: A bucket with more classes than this is linked through leaders, round by round.
-HOT, LEADERS = 1024, 8
+#: Bits of the fingerprint that travels with a key.
+KEY_BITS = 128
+#: Classes of a bucket above which it is hot; of a block of it.
+HOT, BLOCK = 1024, 1024
+#: One class in so many is looked at to find the buckets that hold this share of all; there are at most BANDS / MEGA of them.
+SAMPLE, MEGA = 16, 0.001
 
 
 @lru_cache(2)
@@ -81,7 +91,7 @@ def pivot_table(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def allowed_difference(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """The most tokens in which two sets of these sizes can differ and still share ``threshold`` of all."""
-    return (na + nb) * (1 - threshold) / (1 + threshold) + 1e-6
+    return (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
 def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -104,23 +114,27 @@ def class_hash(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return X.mix(X.segment_sum(X.mix(tokens.astype(np.uint64) + np.uint64(1)), offsets) + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def _tokens_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The token sets of a batch of space, row, text; sets of different spaces have no token in common."""
+    tokens, offsets = X.token_sets(b.column(2).to_pylist())
+    space = np.repeat(b.column(0).to_numpy(), np.diff(offsets)).astype(np.uint32)
+    return tokens ^ (space * np.uint32(0x9E3779B9)), offsets
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tokens, offsets = X.token_sets(b.column(1).to_pylist())
-        some = np.diff(offsets) > 0
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(class_hash(tokens, offsets)[some])], ["row", "cls"])
+        tokens, offsets = _tokens_of(b)
+        some = pa.array(np.diff(offsets) > 0)
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(some), b.column(1).filter(some), pa.array(class_hash(tokens, offsets)).filter(some)], ["space", "row", "cls"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # of this task: a copy's set is sent once
     for b in batches:
-        tokens, offsets = X.token_sets(b.column(1).to_pylist())
+        tokens, offsets = _tokens_of(b)
         cls = class_hash(tokens, offsets)
-        new = np.zeros(len(cls), bool)
+        new = np.zeros(len(cls), bool)  # a copy's set is sent once a batch
         new[np.unique(cls, return_index=True)[1]] = True
         new &= np.diff(offsets) > 0
-        new &= np.fromiter((c not in seen for c in cls.tolist()), bool, len(cls))
-        seen.update(cls[new].tolist())
         keep = np.repeat(new, np.diff(offsets))
         tokens, sizes = tokens[keep], np.diff(offsets)[new]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -131,15 +145,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slot(tokens: np.ndarray) -> np.ndarray:
+    return tokens & np.uint32(SLOTS - 1)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         t, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["tok", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["slot", "df"])
 
     for b in batches:
-        held.append(_flat(b.column(0), np.uint32)[0])
+        held.append(slot(_flat(b.column(0), np.uint32)[0]))
         size += len(held[-1])
         if size > 4_000_000:
             yield flush()
@@ -148,136 +166,211 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def frequent_tokens(sets: DataFrame, share: float = FREQUENT) -> np.ndarray:
-    """The tokens in at least ``share`` of all sets, sorted. At most (mean set size / share) tokens, whatever the input's size."""
-    n = sets.count()
-    df = sets.select("toks").mapInArrow(_token_counts, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df"))
-    rows = df.where(F.col("df") >= max(float(LEAST_FREQUENT), share * n)).select("tok").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.uint32))
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets each slot's tokens are, up to 65,535; of fixed size, whatever the input's."""
+    df = sets.select("toks").mapInArrow(_slot_counts, "slot long, df long").groupBy("slot").agg(F.least(F.sum("df"), F.lit(65535)).alias("df"))
+    rows = df.where("df > 1").select(F.col("slot").cast("int").alias("slot"), F.col("df").cast("int").alias("df")).toArrow()
+    counts = np.ones(SLOTS, np.uint16)
+    counts[rows.column("slot").to_numpy()] = rows.column("df").to_numpy()
+    return counts
 
 
-def _postings(frequent: np.ndarray, bands: int, rows: int, seed: int = 11):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, offsets = _flat(b.column(1), np.uint32)
-            keys = keys_of_rare(tokens, offsets, frequent, bands, rows, seed)
-            cls = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cls, bands))], ["key", "cls"])
-            # Where little is rare (a very large group makes its own tokens frequent), stricter keys over the whole set.
-            common = np.isin(tokens, frequent)
-            few = np.diff(offsets) - X.segment_sum(common.astype(np.int64), offsets) < FEW_RARE
-            if few.any():
-                keep, sizes = np.repeat(few, np.diff(offsets)), np.diff(offsets)[few]
-                whole = X.band_keys(tokens[keep], np.concatenate([[0], np.cumsum(sizes)]), WHOLE_BANDS, WHOLE_ROWS, seed + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(whole.ravel().view(np.int64)), pa.array(np.repeat(cls[few], WHOLE_BANDS))], ["key", "cls"])
+def most_partner(n: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest size of an alike set whose first token in common stands at this place of a set of size ``n``."""
+    return np.floor((n - place) * ((1 + threshold) / threshold) - n + 1e-6).astype(np.int64)
 
-    return run
 
+def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """The sets' fingerprints, packed to bytes."""
+    n = len(offsets) - 1
+    marks = np.zeros((n, bits), np.uint8)
+    marks[np.repeat(np.arange(n), np.diff(offsets)), (tokens >> np.uint32(7)) % np.uint32(bits)] = 1
+    return np.packbits(marks, axis=1)
 
-def keys_of_rare(tokens: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
-    """Band keys over each set's rarer tokens; a set with fewer than MIN_RARE of them is used whole. No set may be empty."""
-    if len(frequent) and len(tokens):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        rare = frequent[at] != tokens
-        few = X.segment_sum(rare.astype(np.int64), offsets) < MIN_RARE
-        use = rare | np.repeat(few, np.diff(offsets))
-        offsets = np.concatenate([[0], np.cumsum(X.segment_sum(use.astype(np.int64), offsets))])
-        tokens = tokens[use]
-    if len(offsets) == 1:
-        return np.zeros((0, bands), np.uint64)
-    return X.band_keys(tokens, offsets, bands, rows, seed)
 
+def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float, rare: int = RARE, bands: int = BANDS, rows: int = ROWS, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key, largest partner's size, and whether the key is a band, for every key of every set.
 
-def _far(threshold: float):
-    """Pairs that pass the pivot table, with the second set's tokens."""
+    A token that is in fewer than ``least`` sets makes no key: within one table nothing can meet there.
+    """
+    sizes = np.diff(offsets)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    df = counts[slot(tokens)]
+    by = np.argsort((own.astype(np.uint64) << np.uint64(37)) | (np.minimum(df, rare + 1).astype(np.uint64) << np.uint64(21)) | slot(tokens).astype(np.uint64), kind="stable")
+    place = np.arange(len(tokens)) - offsets[:-1][own]
+    need = np.ceil(threshold * sizes - 1e-6).astype(np.int64)
+    df, first = df[by], tokens[by]
+    keep = (place <= (sizes - need)[own]) & (df <= rare) & (df >= least)
+    one = own[keep], first[keep].astype(np.int64), most_partner(sizes[own[keep]], place[keep], threshold)
+    frequent = df > rare
+    nf = X.segment_sum(frequent.astype(np.int64), offsets)
+    whole = np.flatnonzero((nf >= need) & (nf > 0))
+    if not len(whole):
+        return *one, np.zeros(len(one[0]), bool)
+    chosen = np.zeros(len(sizes), bool)
+    chosen[whole] = True
+    part = frequent & chosen[own]
+    keys = X.band_keys(first[part], np.concatenate([[0], np.cumsum(nf[whole])]), bands, rows)
+    most = np.floor(nf[whole] * ((1 + threshold) / threshold) - sizes[whole] + 1e-6).astype(np.int64)
+    two = np.repeat(whole, bands), keys.ravel().view(np.int64), np.repeat(most, bands)
+    return *(np.concatenate(c) for c in zip(one, two, strict=True)), np.repeat([False, True], [len(one[0]), len(two[0])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.table(b)
-            pa_, pb = (_flat(t.column(c).combine_chunks(), np.int8)[0].reshape(-1, PIVOTS).astype(np.int16) for c in ("piv_a", "piv_b"))
-            na, nb = (t.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-            near = np.abs(pa_ - pb).max(axis=1, initial=0) <= allowed_difference(na, nb, threshold)
-            yield from t.filter(pa.array(near)).select(["a", "b", "toks_b"]).to_batches()
 
-    return run
+POSTINGS = "key long, cls long, room long, b0 long, b1 long"
+
 
+def _posted(row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray, most: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """``room`` holds a set's size and the largest size of a partner, so that rows sort by size."""
+    room = (n[row] << 32) | np.maximum(most, 0)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, cls[row], room, bits[row, 0], bits[row, 1])], ["key", "cls", "room", "b0", "b1"])
+
+
+NO_KEYS = np.zeros(0, np.int64)
+
+
+def _postings(counts: np.ndarray, threshold: float, wanted: str = "rest", mega: np.ndarray = NO_KEYS, least: int = 2):
+    """``wanted``: "rest" (all keys but those in ``mega``), "mega" (those only), "rare" and "bands" (rare tokens or bands only), "band keys" (no more than the keys)."""
 
-def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.table(b)
-            fa, oa = _flat(t.column("toks_a").combine_chunks(), np.uint32)
-            fb, ob = _flat(t.column("toks_b").combine_chunks(), np.uint32)
-            alike = X.pair_jaccard(np.split(fa, oa[1:-1]), np.split(fb, ob[1:-1])) >= threshold - 1e-9 if len(t) else np.zeros(0, bool)
-            yield from t.select(["a", "b"]).filter(pa.array(alike)).to_batches()
+            if not b.num_rows:
+                continue
+            tokens, offsets = _flat(b.column(1), np.uint32)
+            row, key, most, band = keys_of(tokens, offsets, counts, threshold, least=least)
+            if wanted == "band keys":
+                yield pa.RecordBatch.from_arrays([pa.array(key[band])], ["key"])
+                continue
+            if len(mega) or wanted != "rest":
+                inside = band & np.isin(key, mega) if wanted in ("rest", "mega") else band
+                use = inside if wanted in ("mega", "bands") else ~inside
+                row, key, most = row[use], key[use], most[use]
+            yield _posted(row, key, b.column(0).to_numpy(), np.diff(offsets), most, folded(tokens, offsets, KEY_BITS).view(np.int64))
 
     return run
 
 
-def _pairs_of_runs(hot: int):
-    """Rows arrive sorted by key. All pairs (a < b) of a key with up to ``hot`` classes; the members of a larger one as (a, null, key)."""
+def near(n_a: np.ndarray, n_b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the fingerprints differ in no more bits than alike sets may differ in tokens."""
+    count = lambda x: np.bitwise_count(x.view(np.uint64)).astype(np.int32)  # noqa: E731  (of signed numbers it counts the absolute value's bits)
+    differ = count(a0 ^ b0) + count(a1 ^ b1)
+    return differ <= allowed_difference(n_a, n_b, threshold)
+
+
+#: Runs up to this length are paired together, longer ones each as a square.
+SHORT = 48
+FOUND = "a long, b long, key long, room long, b0 long, b1 long"
+
 
-    def emit(keys: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs, at, d = [], np.arange(len(keys)), 0
+def _pairs_of_runs(threshold: float, hot: int):
+    """Rows arrive sorted by key and size. All pairs (a < b) of a key that size and fingerprint allow; the rows of a key with more than ``hot`` as they are, b null."""
+
+    def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], [x.split()[0] for x in FOUND.split(", ")])
+
+    def passed_on(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, cls, *rest = cols
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(key), *(pa.array(c) for c in rest)], [x.split()[0] for x in FOUND.split(", ")])
+
+    def pairs(key, cls, room, b0, b1) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        n, most = room >> 32, room & 0xFFFFFFFF
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        left, right = [], []
+        at, d = np.flatnonzero(np.repeat(sizes <= SHORT, sizes)), 0
         while len(at):
             d += 1
-            at = at[at + d < len(keys)]
-            at = at[keys[at + d] == keys[at]]
-            if len(at):
-                pairs.append(np.stack([np.minimum(cls[at], cls[at + d]), np.maximum(cls[at], cls[at + d])]))
-        if pairs:
-            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            both = both[:, both[0] < both[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64())], ["a", "b", "key"])
-
-    def hot_rows(keys: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+            at = at[at + d < len(key)]
+            at = at[key[at + d] == key[at]]
+            i = at[(n[at + d] <= most[at]) & (n[at] <= most[at + d])]
+            i = i[near(n[i], n[i + d], b0[i], b1[i], b0[i + d], b1[i + d], threshold)]
+            left.append(cls[i])
+            right.append(cls[i + d])
+        for s, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            r = slice(s, s + m)
+            i, j = np.nonzero(np.triu((n[None, r] <= most[r, None]) & (n[r, None] <= most[None, r]), 1))
+            i, j = i + s, j + s
+            ok = near(n[i], n[j], b0[i], b1[i], b0[j], b1[j], threshold)
+            left.append(cls[i[ok]])
+            right.append(cls[j[ok]])
+        if left:
+            yield from out(np.concatenate(left), np.concatenate(right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_c, flowing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        held: list[list[np.ndarray]] = []  # the last run, as far as it has come
+        size, flowing = 0, None  # the key of a hot run that is being passed on
         for b in batches:
-            keys, cls = np.concatenate([held_k, b.column(0).to_numpy()]), np.concatenate([held_c, b.column(1).to_numpy()])
-            if flowing is not None:  # a hot key that began in an earlier batch
-                n = int(np.searchsorted(keys, flowing, "right"))
-                if n:
-                    yield hot_rows(keys[:n], cls[:n])
-                keys, cls = keys[n:], cls[n:]
-                flowing = flowing if not len(keys) else None
-            if not len(keys):
-                held_k, held_c = keys, cls
+            if not b.num_rows:
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            last = int(starts[-1])
+            cols = [b.column(i).to_numpy() for i in range(5)]
+            if flowing is not None:
+                k = int(np.searchsorted(cols[0], flowing, "right")) if cols[0][0] == flowing else 0
+                if k:
+                    yield passed_on([c[:k] for c in cols])
+                    cols = [c[k:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                flowing = None
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and held[0][0][0] == cols[0][0]:
+                if not last:
+                    held.append(cols)
+                    size += len(cols[0])
+                    if size > hot:
+                        flowing = cols[0][0]
+                        yield from (passed_on(c) for c in held)
+                        held, size = [], 0
+                    continue
+            whole = [np.concatenate(c) for c in zip(*held, [c[:last] for c in cols], strict=True)]
+            starts = np.flatnonzero(np.concatenate([[True], whole[0][1:] != whole[0][:-1]])) if len(whole[0]) else np.zeros(0, int)
+            sizes = np.diff(np.append(starts, len(whole[0])))
             large = np.repeat(sizes > hot, sizes)
             if large.any():
-                yield hot_rows(keys[large], cls[large])
-            if large[last]:
-                flowing, held_k, held_c = keys[-1], keys[:0], cls[:0]
-                yield from emit(keys[~large], cls[~large])
-            else:
-                held_k, held_c = keys[last:], cls[last:]
-                small = ~large[:last]
-                yield from emit(keys[:last][small], cls[:last][small])
-        yield from emit(held_k, held_c)
+                yield passed_on([c[large] for c in whole])
+                whole = [c[~large] for c in whole]
+            yield from pairs(*whole)
+            held, size = [[c[last:].copy() for c in cols]], len(cols[0]) - last
+            if size > hot:
+                flowing = cols[0][-1]
+                yield from (passed_on(c) for c in held)
+                held, size = [], 0
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
-def bucket_pairs(postings: DataFrame, hot: int = HOT) -> DataFrame:
-    """Candidate pairs (a < b) of classes that share a key, and the members of hot keys as (a, null, key).
+def _alike(threshold: float):
+    """a, b, and size, pivot table and tokens of each: the pairs that pass the pivot tables and are alike."""
 
-    One shuffle and sort by key; the pairs come from a stream over the sorted rows. Members of a hot key are held
-    against a few leaders drawn by hash; what no leader is like, goes another round (see ``links``).
-    """
-    by_key = postings.repartition("key").sortWithinPartitions("key")
-    return by_key.select("key", "cls").mapInArrow(_pairs_of_runs(hot), "a long, b long, key long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.table(b)
+            if not len(t):
+                continue
+            piv_a, piv_b = (_flat(t.column(c).combine_chunks(), np.int8)[0].reshape(-1, PIVOTS).astype(np.int16) for c in ("piv_a", "piv_b"))
+            na, nb = (t.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
+            t = t.filter(pa.array(np.abs(piv_a - piv_b).max(axis=1) <= allowed_difference(na, nb, threshold))).select(["a", "b", "toks_a", "toks_b"])
+            yield from verified(t, threshold)
+
+    return run
+
+
+def verified(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    if len(t):
+        fa, oa = _flat(t.column("toks_a").combine_chunks(), np.uint32)
+        fb, ob = _flat(t.column("toks_b").combine_chunks(), np.uint32)
+        alike = X.pair_jaccard(np.split(fa, oa[1:-1]), np.split(fb, ob[1:-1])) >= threshold - 1e-9
+        yield from t.select(["a", "b"]).filter(pa.array(alike)).to_batches()
 
 
 def table_of_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each row's class, and one set with its pivot table for each class, bucketed by class in the shared folder."""
+    """``texts``: space, row, text. Each row's class, and one set with its pivot table for each class, bucketed by class in the shared folder."""
     spark = texts.sparkSession
-    members = written(texts.mapInArrow(_classes, "row long, cls long"), "members")
+    members = written(texts.mapInArrow(_classes, "space int, row long, cls long"), "members")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = texts.mapInArrow(_sets, "cls long, n int, piv binary, toks binary").dropDuplicates(["cls"])
     return members, bucketed(sets, "cls", parts, "sets")
@@ -294,167 +387,91 @@ def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Candidate pairs (a, b) of classes that pass the pivot tables and are alike."""
-    of = lambda x, *cols: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    near = (
-        pairs.repartition("a")  # the one shuffle serves both the distinct and the join
-        .distinct()
-        .join(of("a", "n", "piv").hint("merge"), "a")
-        .join(of("b", "n", "piv", "toks").hint("merge"), "b")
-        .select("a", "b", "n_a", "n_b", "piv_a", "piv_b", "toks_b")
-        .mapInArrow(_far(threshold), "a long, b long, toks_b binary")
-    )
-    return near.join(of("a", "toks").hint("merge"), "a").select("a", "b", "toks_a", "toks_b").mapInArrow(_verified(threshold), "a long, b long")
-
-
-def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All verified links (a < b) between classes found through shared band keys, written to the shared folder."""
-    frequent = frequent_tokens(sets)
-    postings = sets.select("cls", "toks").mapInArrow(_postings(frequent, BANDS, ROWS), "key long, cls long")
-    found = []
-    while True:
-        shared = written(bucket_pairs(postings), "candidates")
-        found.append(written(alike_pairs(shared.where("b IS NOT NULL").select("a", "b"), sets, threshold), "links"))
-        rest = shared.where("b IS NULL").select("key", F.col("a").alias("cls"))
-        if rest.isEmpty():
-            break
-        drawn = [F.min_by("cls", F.xxhash64("cls", F.lit(i))) for i in range(LEADERS)]
-        lead = rest.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("lead")).select("key", F.explode("lead").alias("lead"))
-        star = rest.join(lead, "key").where("cls != lead")
-        near = written(alike_pairs(star.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")), sets, threshold), "links")
-        found.append(near)
-        ends = near.select("a", "b").union(near.select("b", "a")).toDF("cls", "lead")
-        absorbed = star.join(ends, ["cls", "lead"], "left_semi").select("key", "cls").union(lead.select("key", F.col("lead").alias("cls")))
-        postings = written(rest.join(absorbed, ["key", "cls"], "left_anti"), "hot")
-    return reduce(DataFrame.union, found).distinct()
-
-
-def ranked_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens in at least RANKED of all sets, sorted, and their places in the order by count. Bounded like ``frequent_tokens``."""
-    n = sets.count()
-    df = sets.select("toks").mapInArrow(_token_counts, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df"))
-    rows = df.where(F.col("df") >= max(float(LEAST_RANKED), RANKED * n)).toArrow()
-    toks, counts = rows.column("tok").to_numpy(), rows.column("df").to_numpy()
-    place = np.empty(len(toks), np.int64)
-    place[np.lexsort((toks, counts))] = np.arange(len(toks))
-    by = np.argsort(toks)
-    return toks[by].astype(np.uint32), place[by]
-
-
-def prefixes(tokens: np.ndarray, offsets: np.ndarray, ranked: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, token and place of every set's first tokens in the order, as many as can hold the first that an alike set shares."""
-    sizes = np.diff(offsets)
-    rows, order = np.repeat(np.arange(len(sizes)), sizes), tokens.astype(np.int64)
-    if len(ranked[0]) and len(tokens):
-        at = np.minimum(np.searchsorted(ranked[0], tokens), len(ranked[0]) - 1)
-        order = np.where(ranked[0][at] == tokens, ranked[1][at] + 2**32, order)
-    by = np.lexsort((order, rows))
-    place = np.arange(len(tokens)) - offsets[:-1][rows]
-    keep = place <= (sizes - np.ceil(threshold * sizes - 1e-6))[rows]
-    return rows[keep], tokens[by][keep], place[keep]
+    of = lambda x: sets.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "piv", "toks"))).hint("merge")
+    # The one shuffle by a serves both the distinct and the join.
+    both = pairs.repartition("a").distinct().join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "piv_a", "piv_b", "toks_a", "toks_b").mapInArrow(_alike(threshold), "a long, b long")
 
 
-def most_partner(n: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
-    """The largest size of an alike set whose first token in common stands at this place."""
-    return np.floor((n - place) * (1 + threshold) / threshold - n + 1e-6).astype(np.int32)
+def mega_keys(sets: DataFrame, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Band keys that hold MEGA of all classes and make a hot bucket, by a sample of the classes; at most BANDS / MEGA of them."""
+    sample = sets.where(F.pmod(F.col("cls"), F.lit(SAMPLE)) == 0)
+    n = sample.count()
+    keys = sample.select("cls", "toks").mapInArrow(_postings(counts, threshold, "band keys"), "key long").groupBy("key").count()
+    rows = keys.where(F.col("count") >= max(HOT / SAMPLE, MEGA * n)).select("key").toArrow()
+    return np.sort(rows.column("key").to_numpy())
 
 
-def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """The sets' fingerprints, packed to bytes."""
-    n = len(offsets) - 1
-    marks = np.zeros((n, bits), np.uint8)
-    marks[np.repeat(np.arange(n), np.diff(offsets)), (tokens >> np.uint32(7)) % np.uint32(bits)] = 1
-    return np.packbits(marks, axis=1)
+def room(which: str, side: str = "") -> F.Column:
+    c = F.col(f"room{side}")
+    return F.shiftright(c, 32) if which == "n" else c.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _prefix_rows(ranked: tuple[np.ndarray, np.ndarray], threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, offsets = _flat(b.column(2), np.uint32)
-            n = np.diff(offsets)
-            row, token, place = prefixes(tokens, offsets, ranked, threshold)
-            bits = folded(tokens, offsets, PREFIX_BITS)[row]
-            at = np.arange(len(row) + 1) * (PREFIX_BITS // 8)
-            most = most_partner(n[row], place, threshold)
-            ids = (pa.array(b.column(i).to_numpy()[row]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), *ids, pa.array(n[row].astype(np.int32)), pa.array(most), _binary(bits.ravel(), at)], ["key", "cls", "grp", "n", "most", "bits"])
+def near_columns(threshold: float, x: str = "_a", y: str = "_b") -> F.Column:
+    """``near`` and the test of sizes as a column, for rows of postings side by side."""
+    differ = F.bit_count(F.col(f"b0{x}").bitwiseXOR(F.col(f"b0{y}"))) + F.bit_count(F.col(f"b1{x}").bitwiseXOR(F.col(f"b1{y}")))
+    most = (room("n", x) + room("n", y)) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (differ <= most) & (room("n", x) <= room("most", y)) & (room("n", y) <= room("most", x))
 
-    return run
 
+_FIELDS = ("cls", "room", "b0", "b1")
 
-def _near_of_runs(threshold: float):
-    """Rows arrive sorted by key and size. Pairs of one key, of different groups, that size, place and fingerprint allow."""
-    share = (1 - threshold) / (1 + threshold)
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _sided(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in _FIELDS))
 
-    def short_runs(key, cls, grp, n, most, bits) -> Iterator[pa.RecordBatch]:
-        words, at, d = np.ascontiguousarray(bits).view(np.uint64), np.arange(len(key)), 0
-        while len(at):
-            d += 1
-            at = at[at + d < len(key)]
-            at = at[key[at + d] == key[at]]
-            i = at[(n[at + d] <= most[at]) & (n[at] <= most[at + d]) & (grp[at] != grp[at + d])]
-            i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= (n[i] + n[i + d]) * share + 1e-6]
-            if len(i):
-                yield out(cls[i], cls[i + d])
 
-    def long_run(cls, grp, n, most, bits) -> Iterator[pa.RecordBatch]:
-        if (grp == grp[0]).all():
-            return
-        for s in range(0, len(cls), BLOCK):
-            e = min(len(cls), s + BLOCK)
-            marks = np.unpackbits(bits[s:e], axis=1).astype(np.float32)
-            need = marks.sum(axis=1) - n[s:e] * share
-            left = np.concatenate([2 * marks, -need[:, None], np.ones((e - s, 1))], axis=1, dtype=np.float32)
-            others = s + np.flatnonzero((n[s:] <= most[s:e].max()) & (most[s:] >= n[s]))
-            for o in range(0, len(others), 4 * BLOCK):
-                j = others[o : o + 4 * BLOCK]
-                marks = np.unpackbits(bits[j], axis=1).astype(np.float32)
-                need = marks.sum(axis=1) - n[j] * share
-                right = np.concatenate([marks, np.ones((len(j), 1)), -need[:, None]], axis=1, dtype=np.float32)
-                a, b = np.divmod(np.flatnonzero((left @ right.T).ravel() >= -0.01), len(j))
-                a, b = a + s, j[b]
-                ok = (a < b) & (grp[a] != grp[b]) & (n[b] <= most[a]) & (n[a] <= most[b])
-                if ok.any():
-                    yield out(cls[a[ok]], cls[b[ok]])
-
-    def whole_runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not len(cols[0]):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-        sizes = np.diff(np.append(starts, len(cols[0])))
-        small = np.repeat(sizes <= SHORT, sizes)
-        yield from short_runs(*(c[small] for c in cols))
-        for k in np.flatnonzero(sizes > SHORT):
-            yield from long_run(*(c[starts[k] : starts[k] + sizes[k]] for c in cols[1:]))
+def _as_pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).where("a < b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy() for i in range(5)] + [_flat(b.column(5), np.uint8)[0].reshape(-1, PREFIX_BITS // 8)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if held and (last or held[-1][0][-1] != cols[0][0]):  # a run ends here
-                yield from whole_runs([np.concatenate(c) for c in zip(*held, [c[:last] for c in cols], strict=True)])
-                held = []
-            elif last:
-                yield from whole_runs([c[:last] for c in cols])
-            held.append([c[last:].copy() for c in cols])
-        if held:
-            yield from whole_runs([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return run
+def star_pairs(hot: DataFrame, threshold: float) -> DataFrame:
+    """``hot``: key, block, and a posting's fields. Each class with its block's smallest, and these with the smallest of the key."""
+    least = F.min(F.struct("room", "cls", "b0", "b1"))
+    block = hot.groupBy("key", "block").agg(least.alias("x")).select("key", "block", "x.*")
+    top = block.groupBy("key").agg(least.alias("x")).select("key", "x.*")
+    star = _sided(hot, "a", "key", "block").join(_sided(block, "b", "key", "block"), ["key", "block"])
+    heads = _sided(block, "a", "key").join(_sided(top, "b", "key"), "key")
+    return _as_pairs(star.where(near_columns(threshold))).union(_as_pairs(heads.where(near_columns(threshold))))
+
 
+def crossing_pairs(hot: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of a hot key whose classes are in different groups, held against each other in blocks.
 
-def missed_links(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All links between classes that ``label`` (node, grp) does not put in one group yet, so that none is missing."""
-    named = sets.select("cls", "toks").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("grp", "cls").alias("grp"), "toks")
-    rows = named.mapInArrow(_prefix_rows(ranked_tokens(sets), threshold), "key long, cls long, grp long, n int, most int, bits binary")
-    by_key = rows.repartition("key").sortWithinPartitions("key", "n")
-    near = written(by_key.mapInArrow(_near_of_runs(threshold), "a long, b long"), "missed")
-    return written(alike_pairs(near, sets, threshold), "links")
+    The classes outside a key's largest group, in blocks of their own, meet all blocks of the key.
+    """
+    named = hot.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    sizes = named.groupBy("key", "grp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max_by("grp", "m").alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    main = main.where("most < all").select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others"))
+    rows = named.join(main, "key")
+    spread = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
+    left = rows.where("grp != main").select("key", spread("others", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "grp", *_FIELDS)
+    right = rows.select("key", spread("blocks", 2).alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), "grp", *_FIELDS)
+    sided = lambda df, x: _sided(df, x, "key", "i", "j", F.col("grp").alias(f"grp_{x}"))
+    both = sided(left, "a").hint("shuffle_hash").join(sided(right, "b"), ["key", "i", "j"])
+    return _as_pairs(both.where(near_columns(threshold)).where("grp_a != grp_b"))
+
+
+def groups_of_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``node`` and ``grp`` of every class that is linked to another."""
+    counts = token_counts(sets)
+    mega = mega_keys(sets, counts, threshold)
+    pick = lambda wanted: sets.select("cls", "toks").mapInArrow(_postings(counts, threshold, wanted, mega), POSTINGS)
+    by_key = pick("rest").repartition("key").sortWithinPartitions("key", "room")
+    shared = written(by_key.mapInArrow(_pairs_of_runs(threshold, HOT), FOUND), "candidates")
+    hot = shared.where("b IS NULL").select("key", F.col("a").alias("cls"), "room", "b0", "b1")
+    if len(mega):
+        hot = hot.union(pick("mega").select("key", *_FIELDS))
+    edges = written(alike_pairs(shared.where("b IS NOT NULL").select("a", "b"), sets, threshold), "links")
+    if not len(mega) and hot.isEmpty():
+        return components(edges)
+    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    hot = written(hot.join(sizes, "key").select("key", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), *_FIELDS), "hot")
+    star = written(alike_pairs(star_pairs(hot, threshold), sets, threshold), "links")
+    label = components(edges.union(star))
+    crossing = written(alike_pairs(crossing_pairs(hot, label, threshold), sets, threshold), "links")
+    return label if crossing.isEmpty() else components(reduce(DataFrame.union, (edges, star, crossing)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -472,43 +489,53 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", F.col("new").alias("grp"))
 
 
-def groups(df: DataFrame, key: str, text: F.Column, threshold: float = THRESHOLD) -> DataFrame:
-    """``row`` and ``grp`` of every row that has a near-duplicate or copy, one row for each."""
-    texts = df.select(F.col(key).cast("long").alias("row"), text.alias("text"))
+def groups_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``texts``: space, row, text. ``space``, ``row`` and ``grp`` of every row that has a near-duplicate or copy in its space."""
     members, sets = table_of_sets(texts)
-    edges = links(sets, threshold)
-    label = components(edges)
-    missed = missed_links(sets, label, threshold)
-    if not missed.isEmpty():
-        label = components(edges.union(missed))
+    label = groups_of_classes(sets, threshold)
     copies = members.groupBy("cls").agg(F.count("*").alias("m"))
     wanted = copies.where("m > 1").select("cls").union(label.select("node")).distinct()
     of = members.join(wanted, "cls", "left_semi").join(label.withColumnRenamed("node", "cls"), "cls", "left")
-    return of.select("row", F.coalesce("grp", "cls").alias("grp"))
+    return of.select("space", "row", F.coalesce("grp", "cls").alias("grp"))
+
+
+def groups(df: DataFrame, key: str, text: F.Column, threshold: float = THRESHOLD) -> DataFrame:
+    """``row`` and ``grp`` of every row of one table that has a near-duplicate or copy, one row for each."""
+    return groups_of_texts(df.select(F.lit(0).alias("space"), F.col(key).cast("long").alias("row"), text.alias("text")), threshold).select("row", "grp")
 
 
-def group_pairs(grouped: DataFrame) -> DataFrame:
-    """Every pair of one group, smaller key first; the form the result's definition asks for."""
-    a, b = (grouped.select(F.col("row").alias(f"row_{x}"), "grp") for x in "ab")
-    return a.join(b, "grp").where("row_a < row_b").select("row_a", "row_b")
+def group_pairs(grouped: DataFrame, *also: str) -> DataFrame:
+    """Every pair of one group, smaller key first; the form the result's definition asks for.
 
+    A group's rows are cut into blocks, and each block meets all rows, so no task emits a whole group's pairs.
+    """
+    blocks = grouped.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = grouped.join(blocks, "grp")
+    a = rows.select("grp", *also, F.col("row").alias("row_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = rows.select("grp", F.col("row").alias("row_b"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
+    return a.join(b, ["grp", "block"]).where("row_a < row_b").select(*also, "row_a", "row_b")
 
-def record_sets(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame, str, F.Column]]:
+
+RECORD_SETS = ("edition_items", "articles")
+
+
+def record_texts(spark: SparkSession, sf: str) -> DataFrame:
     items, arts = spark.read.parquet(f"{sf}/edition_items.parquet"), spark.read.parquet(f"{sf}/articles.parquet")
     both = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
-    return [("edition_items", items, "item_row", both), ("articles", arts, "article_row", F.col("description"))]
+    of = lambda df, space, key, text: df.select(F.lit(space).alias("space"), F.col(key).cast("long").alias("row"), text.alias("text"))
+    return of(items, 0, "item_row", both).union(of(arts, 1, "article_row", F.col("description")))
+
+
+def record_set() -> F.Column:
+    return F.element_at(F.array(*map(F.lit, RECORD_SETS)), F.col("space") + 1).alias("record_set")
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [group_pairs(groups(df, key, text)).select(F.lit(name).alias("record_set"), "row_a", "row_b") for name, df, key, text in record_sets(spark, sf)]
-    return parts[0].union(parts[1])
+    return group_pairs(groups_of_texts(record_texts(spark, sf)), "space").select(record_set(), "row_a", "row_b")
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each row with a near-duplicate: its group's smallest row and the group's size."""
-    parts = []
-    for name, df, key, text in record_sets(spark, sf):
-        g = groups(df, key, text)
-        of = g.groupBy("grp").agg(F.min("row").alias("first_row"), F.count("*").alias("group_size"))
-        parts.append(g.join(of, "grp").select(F.lit(name).alias("record_set"), F.col("row").alias("row_key"), "first_row", "group_size"))
-    return parts[0].union(parts[1])
+    g = groups_of_texts(record_texts(spark, sf))
+    of = g.groupBy("grp").agg(F.min("row").alias("first_row"), F.count("*").alias("group_size"))
+    return g.join(of, "grp").select(record_set(), F.col("row").alias("row_key"), "first_row", "group_size")
