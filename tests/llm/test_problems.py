@@ -108,7 +108,7 @@ def test_frequent_tokens_alone_link_a_family(spark, monkeypatch, mega):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "SAMPLE", 2)
     monkeypatch.setattr(neardup, "MEGA", mega)
-    monkeypatch.setattr(neardup.keys_of, "__defaults__", (8, neardup.BANDS, neardup.ROWS, 2))
+    monkeypatch.setattr(neardup.keys_of, "__defaults__", (8, neardup.ROWS, 2))
     rng = random.Random(3)
     story = [f"s{i}" for i in range(26)]
     texts = {i: " ".join(rng.sample(story, 25) + [f"own{i}x{j}" for j in range(6)]) for i in range(120)}

@@ -51,11 +51,11 @@ from tidewire.shared import scratch_path, written
 THRESHOLD = 0.6
 #: A token in more sets than this is frequent; a rare token's bucket holds no more classes.
 RARE = 256
-#: Bands over a set's frequent part, and minwise values of each.
-BANDS, ROWS = 24, 4
+#: Minwise values of a band over a set's frequent part; the chance with which an alike pair must share a band; bands at most.
+ROWS, SURE, BANDS = 4, 0.99, 34
 #: Slots of the table of token counts: what is sent to the tasks is this large at most, whatever the input.
 SLOTS = 1 << 21
-FINGERPRINT_BITS, PIVOTS = 512, 64
+FINGERPRINT_BITS, PIVOTS = 512, 32
 #: Bits of the fingerprint that travels with a key.
 KEY_BITS = 128
 #: Classes of a bucket above which it is hot; of a block of it.
@@ -188,7 +188,18 @@ def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(marks, axis=1)
 
 
-def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float, rare: int = RARE, bands: int = BANDS, rows: int = ROWS, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bands_needed(share: np.ndarray, threshold: float, rows: int = ROWS) -> np.ndarray:
+    """How many bands a set needs whose frequent part is this share of it, so that it meets any alike set with chance SURE.
+
+    Of a set of size 1, with a frequent part of ``share``, an alike set shares o between ``threshold`` and ``share`` and
+    has at most o (1 + t) / t - 1 tokens; so the parts are alike to at least o / (share - 1 + o / t), which is least at
+    o = share. The fewer bands of two sets are enough for both, as either bound holds for the pair.
+    """
+    least = share / (share - 1 + share / threshold)
+    return np.minimum(BANDS, np.ceil(np.log(1 - SURE) / np.log(1 - np.minimum(least, 0.999) ** rows))).astype(np.int64)
+
+
+def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float, rare: int = RARE, rows: int = ROWS, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, key, largest partner's size, and whether the key is a band, for every key of every set.
 
     A token that is in fewer than ``least`` sets makes no key: within one table nothing can meet there.
@@ -210,9 +221,10 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, thresho
     chosen = np.zeros(len(sizes), bool)
     chosen[whole] = True
     part = frequent & chosen[own]
+    bands = bands_needed(nf[whole] / sizes[whole], threshold, rows)
     keys = X.band_keys(first[part], np.concatenate([[0], np.cumsum(nf[whole])]), bands, rows)
     most = np.floor(nf[whole] * ((1 + threshold) / threshold) - sizes[whole] + 1e-6).astype(np.int64)
-    two = np.repeat(whole, bands), keys.ravel().view(np.int64), np.repeat(most, bands)
+    two = np.repeat(whole, bands), keys.view(np.int64), np.repeat(most, bands)
     return *(np.concatenate(c) for c in zip(one, two, strict=True)), np.repeat([False, True], [len(one[0]), len(two[0])])
 
 
@@ -372,7 +384,7 @@ def table_of_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     members = written(texts.mapInArrow(_classes, "space int, row long, cls long"), "members")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = texts.mapInArrow(_sets, "cls long, n int, piv binary, toks binary").dropDuplicates(["cls"])
+    sets = texts.mapInArrow(_sets, "cls long, n int, piv binary, toks binary").repartition(parts, "cls").dropDuplicates(["cls"])
     return members, bucketed(sets, "cls", parts, "sets")
 
 
@@ -381,6 +393,7 @@ def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
+    # Rows that come partitioned by the key are not moved again.
     df.repartition(parts, key).write.bucketBy(parts, key).format("parquet").option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 

@@ -109,30 +109,31 @@ def segment_min(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, offsets[:-1])
 
 
-def min_hashes(tokens: np.ndarray, offsets: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
-    """``n`` minwise values of every set (rows: sets), by multiply-shift in 32 bits; no set may be empty."""
-    rng = np.random.default_rng(seed)
-    mult = rng.integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1)
-    add = rng.integers(0, 2**32, n, dtype=np.uint32)
-    base = tokens.astype(np.uint32)
-    out = np.empty((len(offsets) - 1, n), np.uint32)
-    for k in range(n):
-        h = base * mult[k] + add[k]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        out[:, k] = segment_min(h, offsets)
-    return out
+def band_keys(tokens: np.ndarray, offsets: np.ndarray, bands: np.ndarray, rows: int, seed: int = 11) -> np.ndarray:
+    """64-bit keys of bands of ``rows`` minwise values, by multiply-shift in 32 bits; set by set, so many of each as ``bands`` says.
 
-
-def band_keys(tokens: np.ndarray, offsets: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
-    """A 64-bit key for each set and band of ``rows`` minwise values; the band is part of the key."""
-    sig = min_hashes(tokens, offsets, bands * rows, seed).astype(np.uint64)
-    out = np.empty((len(sig), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(sig), b + 1, np.uint64) * _MULT
+    The band is part of the key, and a set with fewer bands has the first ones. No set may be empty.
+    """
+    most = int(bands.max(initial=0))
+    rng = np.random.default_rng(seed)
+    mult = rng.integers(1, 2**32, (most, rows), dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 2**32, (most, rows), dtype=np.uint32)
+    out = np.empty(int(bands.sum()), np.uint64)
+    first = np.concatenate([[0], np.cumsum(bands)[:-1]])
+    use, base, at = np.arange(len(bands)), tokens.astype(np.uint32), offsets
+    for b in range(most):
+        if not (bands[use] > b).all():  # the sets that still want a band
+            left = bands[use] > b
+            base = base[np.repeat(left, np.diff(at))]
+            at = np.concatenate([[0], np.cumsum(np.diff(at)[left])])
+            use = use[left]
+        key = np.full(len(use), b + 1, np.uint64) * _MULT
         for r in range(rows):
-            key = mix(key + sig[:, b * rows + r] * np.uint64(0xD6E8FEB86659FD93))
-        out[:, b] = key
+            h = base * mult[b, r] + add[b, r]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            key = mix(key + segment_min(h, at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out[first[use] + b] = key
     return out
 
 
