@@ -164,7 +164,8 @@ class AcceptedStore:
 
     def _write(self, df: DataFrame, segment: str, what: str) -> None:
         key, _ = TABLES[what]
-        df = df.withColumn("part", self._part(key)).repartition(self.parts, "part").sortWithinPartitions("part", key)
+        # Spark's hash partitions are these very parts, so a task writes one of them.
+        df = df.repartition(self.parts, key).withColumn("part", self._part(key)).sortWithinPartitions("part", key)
         df.write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/{what}/segment={segment}")
 
     def _read(self, what: str, parts: list[int] | None = None, segments: list[str] | None = None) -> DataFrame:
