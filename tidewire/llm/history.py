@@ -255,7 +255,7 @@ def first_of_alike(rows: DataFrame, own: DataFrame) -> DataFrame:
         by_key = sets.select("cls", "toks").mapInArrow(N._postings(counts, THRESHOLD), N.POSTINGS).repartition("key").sortWithinPartitions("key", "room")
         shared = written(by_key.mapInArrow(N._pairs_of_runs(THRESHOLD, N.HOT), N.FOUND), "candidates")
         pairs = shared.where("b IS NOT NULL").select("a", "b")
-        hot = shared.where("b IS NULL").select("key", F.col("a").alias("cls"), "room", "b0", "b1")
+        hot = shared.where("b IS NULL").select("key", F.col("a").alias("cls"), *N._FIELDS[1:])
         waiting = None
         if not hot.isEmpty():
             # Spark cuts each partition to LEADERS rows a key before the shuffle.

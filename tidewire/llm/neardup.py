@@ -15,8 +15,9 @@ into one slot count together. A rare token that looks frequent costs nothing
 but speed, as any split of the tokens keeps both rules true.
 
 Within a bucket a pair goes on if its sizes leave room for the overlap needed
-and if their folded 128-bit fingerprints differ in no more bits than alike
-sets may differ in tokens; neither test loses a pair. Every class has a pivot
+and if their folded fingerprints (each bit the parity of its tokens' number; 256
+bits with rare tokens, 128 with bands) differ in no more bits than alike sets
+may differ in tokens; neither test loses a pair. Every class has a pivot
 table: its Hamming distances, in a 512-bit fingerprint, to fixed reference
 fingerprints. A pair whose largest coordinate difference exceeds what the
 threshold allows is discarded without loss; survivors are verified exactly,
@@ -57,9 +58,9 @@ ROWS, SURE, BANDS = 4, 0.99, 34
 SLOTS = 1 << 21
 FINGERPRINT_BITS, PIVOTS = 512, 32
 #: Bits of the fingerprint that travels with a key.
-KEY_BITS = 128
+KEY_BITS = 256
 #: Classes of a bucket above which it is hot; of a block of it.
-HOT, BLOCK = 1024, 1024
+HOT, BLOCK = 2048, 1024
 #: One class in so many is looked at to find the buckets that hold this share of all; there are at most BANDS / MEGA of them.
 SAMPLE, MEGA = 16, 0.001
 
@@ -180,12 +181,12 @@ def most_partner(n: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarr
     return np.floor((n - place) * ((1 + threshold) / threshold) - n + 1e-6).astype(np.int64)
 
 
-def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """The sets' fingerprints, packed to bytes."""
+def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+    """The sets' fingerprints as 64-bit words: a bit is the parity of the number of tokens that fall on it, so a token of difference changes one bit at most."""
     n = len(offsets) - 1
-    marks = np.zeros((n, bits), np.uint8)
-    marks[np.repeat(np.arange(n), np.diff(offsets)), (tokens >> np.uint32(7)) % np.uint32(bits)] = 1
-    return np.packbits(marks, axis=1)
+    own = np.repeat(np.arange(n), np.diff(offsets))
+    marks = np.bincount(own * bits + ((tokens >> np.uint32(7)) % np.uint32(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(marks.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
 
 
 def bands_needed(share: np.ndarray, threshold: float, rows: int = ROWS) -> np.ndarray:
@@ -228,13 +229,18 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, thresho
     return *(np.concatenate(c) for c in zip(one, two, strict=True)), np.repeat([False, True], [len(one[0]), len(two[0])])
 
 
-POSTINGS = "key long, cls long, room long, b0 long, b1 long"
+POSTINGS = "key long, cls long, room long, b0 long, b1 long, b2 long, b3 long"
+WORDS = ("b0", "b1", "b2", "b3")
+_FIELDS = ("cls", "room", *WORDS)
 
 
-def _posted(row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray, most: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """``room`` holds a set's size and the largest size of a partner, so that rows sort by size."""
+def _posted(row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray, most: np.ndarray, band: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """``room`` holds a set's size and the largest size of a partner, so that rows sort by size. With bands, the fingerprint is folded once more."""
     room = (n[row] << 32) | np.maximum(most, 0)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, cls[row], room, bits[row, 0], bits[row, 1])], ["key", "cls", "room", "b0", "b1"])
+    bits = folded(tokens, offsets)
+    half = np.concatenate([bits[:, :2] ^ bits[:, 2:], np.zeros_like(bits[:, 2:])], axis=1)
+    bits = np.where(band[:, None], half[row], bits[row])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, cls[row], room, *bits.T.copy())], ["key", *_FIELDS])
 
 
 NO_KEYS = np.zeros(0, np.int64)
@@ -255,61 +261,63 @@ def _postings(counts: np.ndarray, threshold: float, wanted: str = "rest", mega:
             if len(mega) or wanted != "rest":
                 inside = band & np.isin(key, mega) if wanted in ("rest", "mega") else band
                 use = inside if wanted in ("mega", "bands") else ~inside
-                row, key, most = row[use], key[use], most[use]
-            yield _posted(row, key, b.column(0).to_numpy(), np.diff(offsets), most, folded(tokens, offsets, KEY_BITS).view(np.int64))
+                row, key, most, band = row[use], key[use], most[use], band[use]
+            yield _posted(row, key, b.column(0).to_numpy(), np.diff(offsets), most, band, tokens, offsets)
 
     return run
 
 
-def near(n_a: np.ndarray, n_b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the fingerprints differ in no more bits than alike sets may differ in tokens."""
-    count = lambda x: np.bitwise_count(x.view(np.uint64)).astype(np.int32)  # noqa: E731  (of signed numbers it counts the absolute value's bits)
-    differ = count(a0 ^ b0) + count(a1 ^ b1)
-    return differ <= allowed_difference(n_a, n_b, threshold)
+def near(n: np.ndarray, words: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the fingerprints of rows i and j differ in no more bits than alike sets may differ in tokens."""
+    # Viewed as unsigned: of signed numbers it is the absolute value whose bits are counted.
+    differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int32) for w in words)
+    return differ <= allowed_difference(n[i], n[j], threshold)
 
 
-#: Runs up to this length are paired together, longer ones each as a square.
-SHORT = 48
-FOUND = "a long, b long, key long, room long, b0 long, b1 long"
+#: Runs up to this length are paired together, longer ones row block by row block of this many cells.
+SHORT, CELLS = 48, 1 << 18
+FOUND = "a long, b long, key long, room long, b0 long, b1 long, b2 long, b3 long"
+_FOUND = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def _pairs_of_runs(threshold: float, hot: int):
     """Rows arrive sorted by key and size. All pairs (a < b) of a key that size and fingerprint allow; the rows of a key with more than ``hot`` as they are, b null."""
 
-    def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(a):
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], [x.split()[0] for x in FOUND.split(", ")])
-
     def passed_on(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, cls, *rest = cols
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(key), *(pa.array(c) for c in rest)], [x.split()[0] for x in FOUND.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(key), *(pa.array(c) for c in rest)], _FOUND)
 
-    def pairs(key, cls, room, b0, b1) -> Iterator[pa.RecordBatch]:
+    def pairs(key, cls, room, *words) -> Iterator[pa.RecordBatch]:
         if not len(key):
             return
         n, most = room >> 32, room & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            ok = near(n, words, i, j, threshold)
+            left.append(cls[i[ok]])
+            right.append(cls[j[ok]])
+
         at, d = np.flatnonzero(np.repeat(sizes <= SHORT, sizes)), 0
         while len(at):
             d += 1
             at = at[at + d < len(key)]
             at = at[key[at + d] == key[at]]
             i = at[(n[at + d] <= most[at]) & (n[at] <= most[at + d])]
-            i = i[near(n[i], n[i + d], b0[i], b1[i], b0[i + d], b1[i + d], threshold)]
-            left.append(cls[i])
-            right.append(cls[i + d])
+            keep(i, i + d)
         for s, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-            r = slice(s, s + m)
-            i, j = np.nonzero(np.triu((n[None, r] <= most[r, None]) & (n[r, None] <= most[None, r]), 1))
-            i, j = i + s, j + s
-            ok = near(n[i], n[j], b0[i], b1[i], b0[j], b1[j], threshold)
-            left.append(cls[i[ok]])
-            right.append(cls[j[ok]])
-        if left:
-            yield from out(np.concatenate(left), np.concatenate(right))
+            step = max(1, CELLS // int(m))
+            for a in range(s, s + m, step):
+                rows, later = np.arange(a, min(a + step, s + m)), np.arange(a + 1, s + m)
+                i, j = np.nonzero((n[later] <= most[rows, None]) & (n[rows, None] <= most[later]) & (rows[:, None] < later))
+                keep(rows[i], later[j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) < 1 << 20 else np.stack([np.minimum(a, b), np.maximum(a, b)])
+            none = pa.nulls(both.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *[none] * (len(_FOUND) - 2)], _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the last run, as far as it has come
@@ -317,7 +325,7 @@ def _pairs_of_runs(threshold: float, hot: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy() for i in range(5)]
+            cols = [c.to_numpy() for c in b.columns]
             if flowing is not None:
                 k = int(np.searchsorted(cols[0], flowing, "right")) if cols[0][0] == flowing else 0
                 if k:
@@ -422,14 +430,11 @@ def room(which: str, side: str = "") -> F.Column:
 
 def near_columns(threshold: float, x: str = "_a", y: str = "_b") -> F.Column:
     """``near`` and the test of sizes as a column, for rows of postings side by side."""
-    differ = F.bit_count(F.col(f"b0{x}").bitwiseXOR(F.col(f"b0{y}"))) + F.bit_count(F.col(f"b1{x}").bitwiseXOR(F.col(f"b1{y}")))
+    differ = sum((F.bit_count(F.col(f"{w}{x}").bitwiseXOR(F.col(f"{w}{y}"))) for w in WORDS), F.lit(0))
     most = (room("n", x) + room("n", y)) * ((1 - threshold) / (1 + threshold)) + 1e-6
     return (differ <= most) & (room("n", x) <= room("most", y)) & (room("n", y) <= room("most", x))
 
 
-_FIELDS = ("cls", "room", "b0", "b1")
-
-
 def _sided(df: DataFrame, x: str, *keys: str) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in _FIELDS))
 
@@ -440,7 +445,7 @@ def _as_pairs(df: DataFrame) -> DataFrame:
 
 def star_pairs(hot: DataFrame, threshold: float) -> DataFrame:
     """``hot``: key, block, and a posting's fields. Each class with its block's smallest, and these with the smallest of the key."""
-    least = F.min(F.struct("room", "cls", "b0", "b1"))
+    least = F.min(F.struct("room", "cls", *WORDS))
     block = hot.groupBy("key", "block").agg(least.alias("x")).select("key", "block", "x.*")
     top = block.groupBy("key").agg(least.alias("x")).select("key", "x.*")
     star = _sided(hot, "a", "key", "block").join(_sided(block, "b", "key", "block"), ["key", "block"])
@@ -460,10 +465,11 @@ def crossing_pairs(hot: DataFrame, label: DataFrame, threshold: float) -> DataFr
     rows = named.join(main, "key")
     spread = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
     left = rows.where("grp != main").select("key", spread("others", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "grp", *_FIELDS)
-    right = rows.select("key", spread("blocks", 2).alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), "grp", *_FIELDS)
-    sided = lambda df, x: _sided(df, x, "key", "i", "j", F.col("grp").alias(f"grp_{x}"))
-    both = sided(left, "a").hint("shuffle_hash").join(sided(right, "b"), ["key", "i", "j"])
-    return _as_pairs(both.where(near_columns(threshold)).where("grp_a != grp_b"))
+    right = rows.select("key", (F.col("grp") == F.col("main")).alias("main"), spread("blocks", 2).alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), "grp", *_FIELDS)
+    sided = lambda df, x, *also: _sided(df, x, "key", "i", "j", F.col("grp").alias(f"grp_{x}"), *also)
+    both = sided(left, "a").hint("shuffle_hash").join(sided(right, "b", F.col("main").alias("main_b")), ["key", "i", "j"])
+    # Two classes outside the main group meet twice, one of these times is enough.
+    return _as_pairs(both.where("grp_a != grp_b AND (cls_a < cls_b OR main_b)").where(near_columns(threshold)))
 
 
 def groups_of_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -473,7 +479,7 @@ def groups_of_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFram
     pick = lambda wanted: sets.select("cls", "toks").mapInArrow(_postings(counts, threshold, wanted, mega), POSTINGS)
     by_key = pick("rest").repartition("key").sortWithinPartitions("key", "room")
     shared = written(by_key.mapInArrow(_pairs_of_runs(threshold, HOT), FOUND), "candidates")
-    hot = shared.where("b IS NULL").select("key", F.col("a").alias("cls"), "room", "b0", "b1")
+    hot = shared.where("b IS NULL").select("key", F.col("a").alias("cls"), *_FIELDS[1:])
     if len(mega):
         hot = hot.union(pick("mega").select("key", *_FIELDS))
     edges = written(alike_pairs(shared.where("b IS NOT NULL").select("a", "b"), sets, threshold), "links")
