@@ -15,7 +15,7 @@ into one slot count together. A rare token that looks frequent costs nothing
 but speed, as any split of the tokens keeps both rules true.
 
 Within a bucket a pair goes on if its sizes leave room for the overlap needed
-and if their folded fingerprints (each bit the parity of its tokens' number; 256
+and if their folded fingerprints (each bit the parity of its tokens' number; 192
 bits with rare tokens, 128 with bands) differ in no more bits than alike sets
 may differ in tokens; neither test loses a pair. Every class has a pivot
 table: its Hamming distances, in a 512-bit fingerprint, to fixed reference
@@ -57,8 +57,8 @@ ROWS, SURE, BANDS = 4, 0.99, 34
 #: Slots of the table of token counts: what is sent to the tasks is this large at most, whatever the input.
 SLOTS = 1 << 21
 FINGERPRINT_BITS, PIVOTS = 512, 32
-#: Bits of the fingerprint that travels with a key.
-KEY_BITS = 256
+#: Bits of the fingerprint that travels with a rare token, and with a band.
+RARE_BITS, BAND_BITS = 192, 128
 #: Classes of a bucket above which it is hot; of a block of it.
 HOT, BLOCK = 2048, 1024
 #: One class in so many is looked at to find the buckets that hold this share of all; there are at most BANDS / MEGA of them.
@@ -181,7 +181,7 @@ def most_partner(n: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarr
     return np.floor((n - place) * ((1 + threshold) / threshold) - n + 1e-6).astype(np.int64)
 
 
-def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+def folded(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     """The sets' fingerprints as 64-bit words: a bit is the parity of the number of tokens that fall on it, so a token of difference changes one bit at most."""
     n = len(offsets) - 1
     own = np.repeat(np.arange(n), np.diff(offsets))
@@ -229,17 +229,17 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, counts: np.ndarray, thresho
     return *(np.concatenate(c) for c in zip(one, two, strict=True)), np.repeat([False, True], [len(one[0]), len(two[0])])
 
 
-POSTINGS = "key long, cls long, room long, b0 long, b1 long, b2 long, b3 long"
-WORDS = ("b0", "b1", "b2", "b3")
+POSTINGS = "key long, cls long, room long, b0 long, b1 long, b2 long"
+WORDS = ("b0", "b1", "b2")
 _FIELDS = ("cls", "room", *WORDS)
 
 
 def _posted(row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray, most: np.ndarray, band: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    """``room`` holds a set's size and the largest size of a partner, so that rows sort by size. With bands, the fingerprint is folded once more."""
+    """``room`` holds a set's size and the largest size of a partner, so that rows sort by size. Words that a band does not need are 0."""
     room = (n[row] << 32) | np.maximum(most, 0)
-    bits = folded(tokens, offsets)
-    half = np.concatenate([bits[:, :2] ^ bits[:, 2:], np.zeros_like(bits[:, 2:])], axis=1)
-    bits = np.where(band[:, None], half[row], bits[row])
+    bits = np.zeros((len(row), len(WORDS)), np.int64)
+    bits[~band] = folded(tokens, offsets, RARE_BITS)[row[~band]]
+    bits[band, : BAND_BITS // 64] = folded(tokens, offsets, BAND_BITS)[row[band]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, cls[row], room, *bits.T.copy())], ["key", *_FIELDS])
 
 
@@ -276,7 +276,7 @@ def near(n: np.ndarray, words: list[np.ndarray], i: np.ndarray, j: np.ndarray, t
 
 #: Runs up to this length are paired together, longer ones row block by row block of this many cells.
 SHORT, CELLS = 48, 1 << 18
-FOUND = "a long, b long, key long, room long, b0 long, b1 long, b2 long, b3 long"
+FOUND = "a long, b long, key long, room long, b0 long, b1 long, b2 long"
 _FOUND = [x.split()[0] for x in FOUND.split(", ")]
 
 
