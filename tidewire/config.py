@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Categories with priority and keywords, in their order of precedence.
 CATEGORIES: dict[str, tuple[int, tuple[str, ...]]] = {
@@ -24,8 +24,53 @@ TITLE_ALIASES = {"sue": "lawsuit", "sued": "lawsuit", "sues": "lawsuit", "suing"
 HISTORY_STOPWORDS = (*TITLE_STOPWORDS, "about", "amid", "could", "latest", "more", "report", "reports", "update", "前沿", "技术", "动态", "消息", "最新", "相关", "表示", "宣布", "报道")
 # Marks of a denial.
 DENIAL_MARKERS = ("deny", "denies", "denied", "refute", "refutes", "false claim", "dispute", "否认", "驳斥", "不实", "有争议", "未证实")
-# Research areas that belong to a category of news.
-AREAS_OF_CATEGORY = {"AI": ("AI",), "航空航天": ("航空航天",), "军事动态": ("军事动态",), "局部冲突": ("局部冲突",), "前沿技术": ("前沿技术",), "无人系统": ("无人系统",)}
+# Research areas that a category of news draws on, and those that can enable it.
+NEWS_RESEARCH_AREAS: dict[str, tuple[str, ...]] = {
+    "AI": ("人工智能", "机器学习", "计算机视觉", "机器人与无人系统"),
+    "航空航天": ("天文与空间科学", "空间物理", "自主与控制系统"),
+    "军事动态": ("自主与控制系统", "机器人与无人系统", "人工智能"),
+    "局部冲突": ("机器人与无人系统", "自主与控制系统", "人工智能"),
+    "前沿技术": ("量子技术", "先进材料", "空间物理", "机器学习"),
+    "无人系统": ("机器人与无人系统", "自主与控制系统", "计算机视觉", "人工智能"),
+}
+ENABLED_CATEGORIES = ("无人系统", "AI", "军事动态")
+ENABLING_AREAS = ("机器人与无人系统", "自主与控制系统", "人工智能", "机器学习")
+MISSION_AREAS = ("天文与空间科学", "空间物理")
+# Preprint categories with area and priority, in order of precedence; the area and priority of all others.
+PAPER_AREAS: tuple[tuple[str, str, int], ...] = (
+    ("cs.AI", "人工智能", 10), ("cs.LG", "机器学习", 10), ("cs.RO", "机器人与无人系统", 10), ("cs.CV", "计算机视觉", 8), ("eess.SY", "自主与控制系统", 9),
+    ("astro-ph.CO", "天文与空间科学", 8), ("astro-ph.EP", "天文与空间科学", 9), ("astro-ph.GA", "天文与空间科学", 8), ("astro-ph.HE", "天文与空间科学", 9), ("astro-ph.IM", "天文与空间科学", 9), ("astro-ph.SR", "天文与空间科学", 8),
+    ("physics.space-ph", "空间物理", 9), ("quant-ph", "量子技术", 8), ("cond-mat.mtrl-sci", "先进材料", 8),
+)
+OTHER_AREA, OTHER_PRIORITY = "前沿研究", 7
+# Collection keywords with priority and aliases.
+COLLECTION_KEYWORDS: tuple[tuple[str, int, tuple[str, ...]], ...] = (
+    ("多模态智能体", 10, ("multimodal agent", "multimodal agents", "multimodal ai agent", "多模态智能体")),
+    ("蜂群机器人", 10, ("swarm robotics", "robot swarm", "uav swarm", "uav swarms", "multi-robot coordination", "蜂群机器人")),
+    ("高超声速制导", 10, ("hypersonic guidance", "hypersonic vehicle guidance", "hypersonic control", "高超声速制导")),
+)
+# Weights of hosts, in order of precedence; weights of feeds by name; weights of other hosts.
+HOST_WEIGHTS: tuple[tuple[str, int], ...] = (
+    ("reuters.com", 20), ("apnews.com", 19), ("nasa.gov", 20), ("defense.gov", 19), ("darpa.mil", 19), ("nato.int", 18), ("esa.int", 19), ("bbc.com", 17), ("bbc.co.uk", 17), ("aljazeera.com", 16), ("deepmind.google", 18), ("huggingface.co", 16), ("techcrunch.com", 15),
+    ("technologyreview.com", 17), ("spectrum.ieee.org", 17), ("ieee.org", 17), ("spacenews.com", 16), ("breakingdefense.com", 16), ("defensenews.com", 16), ("c4isrnet.com", 16), ("defenseone.com", 16), ("flightglobal.com", 15), ("twz.com", 15), ("arstechnica.com", 15), ("theguardian.com", 15),
+)
+FEED_WEIGHTS: tuple[tuple[str, int], ...] = (
+    ("NASA", 20), ("European Space Agency", 19), ("SpaceNews", 16), ("FlightGlobal", 15), ("Breaking Defense", 16), ("Defense News", 16), ("C4ISRNET", 16), ("Defense One", 16), ("DARPA", 19), ("The War Zone", 15), ("BBC World", 17), ("Al Jazeera", 16),
+    ("MIT Technology Review", 17), ("IEEE Spectrum", 17), ("Ars Technica", 15), ("TechCrunch AI", 15), ("Google DeepMind", 18), ("Hugging Face", 16),
+)
+PUBLIC_BODY_WEIGHT, OTHER_WEIGHT = 18, 10
+# What is expected of an event (horizon, statement, confidence), linked and not, and what would verify it.
+OUTLOOK = (("短期", "关注相关机构的正式文件、时间表变化以及是否出现新的独立来源印证。", "中"), ("中期", "关注该事件是否从单次动态演变为持续的政策、部署、采购或技术验证信号。", "低"))
+OUTLOOK_UNLINKED = (("观察", "历史证据不足，暂不作方向性预判；等待新的独立来源或后续正式信息。", "低"),)
+FORECAST_SIGNALS: dict[str, tuple[str, str]] = {
+    "AI": ("正式模型卡或评测结果", "监管、部署或算力计划变化"),
+    "航空航天": ("正式任务时间表或许可", "后续试验、发射或在轨结果"),
+    "军事动态": ("正式合同、预算或部署文件", "后续演训、交付或作战序列变化"),
+    "局部冲突": ("至少两个独立来源确认", "官方声明、停火执行或兵力态势变化"),
+    "前沿技术": ("可复现实验或第三方验证", "工程化、量产或监管节点"),
+    "无人系统": ("后续试验与任务数据", "规模化部署、采购或反制变化"),
+}
+OTHER_SIGNALS = ("新的独立来源", "正式文件或可验证结果")
 NO_COUNTRY = "国际"
 
 
@@ -56,7 +101,15 @@ class Limits:
     min_count: int = 2
     min_groups: int = 2
     model_weight: float = 0.65
-    evidence: tuple[int, ...] = field(default=(24, 16, 120, 8, 12))
+    timeline: int = 24
+    source_groups: int = 16
+    news_ids: int = 120
+    paper_links: int = 8
+    forecasts: int = 12
+    evidence_ids: int = 12
+    same_story_score: int = 45
+    signals: int = 8
+    signal_tags: int = 40
 
 
 LIMITS = Limits()

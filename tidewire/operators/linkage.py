@@ -1,8 +1,8 @@
-"""Joins by shared tokens, without pairing rows that share too few.
+"""Rows that tell of the same event, and links of items with their history and with papers.
 
-Two sets that share at least ``c`` tokens share one of all but the last ``c - 1`` tokens of each, in any fixed order.
-Ordering by how common a token is and leaving out each set's most common ``c - 1`` tokens drops the longest posting
-lists without losing a pair.
+Pairs are looked for within a day and the next only, so the work grows with the days, not with their square. Two sets
+that share at least ``c`` tokens share one of all but the last ``c - 1`` tokens of each, in any fixed order; leaving out
+each title's most common ``c - 1`` tokens drops the longest posting lists without losing a pair.
 """
 
 from __future__ import annotations
@@ -11,49 +11,165 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.config import LIMITS
-from tidewire.functions import text
+from tidewire.config import ENABLED_CATEGORIES, ENABLING_AREAS, LIMITS, MISSION_AREAS, NEWS_RESEARCH_AREAS
+from tidewire.functions import similarity, text
+from tidewire.operators.selection import first_per_key
 
+RATIO, RATIO_LENGTH = 0.9, 24
 
-def prefix_postings(rows: DataFrame, df: DataFrame, c: int) -> DataFrame:
-    """``rows``: row, tokens. One posting for each token but the ``c - 1`` most common of its row."""
-    each = rows.select("row", F.explode("tokens").alias("token")).join(df, "token")
-    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("df"), F.desc("token")))
-    return each.withColumn("place", place).where(F.col("place") >= c).select("row", "token")
 
+def postings(rows: DataFrame, column: str, kept: Column, *also: str) -> DataFrame:
+    """``rows``: row, ts, and an array. One posting for each element whose place, by how rare it is in its row, is at most ``kept``."""
+    each = rows.select("row", "ts", *also, F.explode(column).alias("token"), kept.alias("kept"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.asc("df"), F.asc("token")))
+    return each.join(df, "token").withColumn("place", place).where("place <= kept").select("row", "ts", "token", *also)
 
-def shared_pairs(a: DataFrame, b: DataFrame, c: int) -> DataFrame:
-    """Pairs (row_a, row_b) whose token arrays share at least ``c`` tokens, with n_shared, n_a, n_b."""
-    df = a.select(F.explode("tokens").alias("token")).union(b.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
-    pa, pb = prefix_postings(a, df, c), prefix_postings(b, df, c)
-    pairs = pa.withColumnRenamed("row", "row_a").join(pb.withColumnRenamed("row", "row_b"), "token").select("row_a", "row_b").distinct()
-    of = lambda d, x: d.select(F.col("row").alias(f"row_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    both = pairs.join(of(a, "a"), "row_a").join(of(b, "b"), "row_b")
-    counted = both.select("row_a", "row_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("n_shared"), F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"))
-    return counted.where(F.col("n_shared") >= c)
 
+def near_in_time(posts: DataFrame, hours: int, *also: str, keep: Column | None = None) -> DataFrame:
+    """Pairs (row_a < row_b) of postings with one token, at most ``hours`` (of a day at most) apart; ``keep`` is a test on ``also`` with _x and _y."""
+    day = F.to_date("ts")
+    of = lambda x, names: [F.col(c).alias(f"{c}_{x}") for c in names]
+    a = posts.select("token", day.alias("day"), F.col("row").alias("x"), *of("x", ("ts", *also)))
+    b = posts.select("token", F.explode(F.array(day, F.date_sub(day, 1))).alias("day"), F.col("row").alias("y"), *of("y", ("ts", *also)))
+    close = F.abs(F.unix_micros("ts_x") - F.unix_micros("ts_y")) <= hours * 3_600_000_000
+    met = a.join(b, ["token", "day"]).where((F.col("x") != F.col("y")) & close & (F.lit(True) if keep is None else keep))
+    return met.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
 
-def best_links(pairs: DataFrame, score: Column, least: int, n: int) -> DataFrame:
-    """The best ``n`` partners of every row_a with at least ``least`` points; ties by row_b."""
-    from tidewire.operators.selection import first_per_key
 
-    scored = pairs.withColumn("points", score).where(F.col("points") >= least)
-    return first_per_key(scored, ["row_a"], [F.desc("points"), F.asc("row_b")], n).select("row_a", "row_b", "points", "place")
+def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    of = lambda x: rows.select(F.col("row").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    return pairs.join(of("a"), "row_a").join(of("b"), "row_b")
 
 
-def overlap_points(weight: int) -> Column:
-    return F.bround(F.lit(weight) * text.overlap(F.col("n_shared"), F.col("n_a"), F.col("n_b"))).cast("int")
+def titled(rows: DataFrame) -> DataFrame:
+    """``rows``: row, ts, title. Adds what the title rules need."""
+    norm = text.normalized_title(F.coalesce("title", F.lit("")))
+    return rows.withColumns({"norm": norm, "tokens": text.title_tokens(F.coalesce("title", F.lit(""))), "acronyms": text.acronyms(F.coalesce("title", F.lit("")))})
 
 
-def title_pairs(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
-    """Rows (row, ts, tokens, acronyms) that tell of the same event: at most ``hours`` apart, four tokens and half of the
-    smaller title shared, or three tokens, 35 % and an acronym among them."""
-    plain = rows.select("row", "tokens")
-    near = shared_pairs(plain, plain, 3).where("row_a < row_b")
-    of = lambda x: rows.select(F.col("row").alias(f"row_{x}"), F.col("ts").alias(f"ts_{x}"), F.col("tokens").alias(f"tokens_{x}"), F.col("acronyms").alias(f"acr_{x}"))
-    both = near.join(of("a"), "row_a").join(of("b"), "row_b")
-    share = F.col("n_shared") / F.least("n_a", "n_b")
-    acronym = F.size(F.array_intersect(F.array_intersect("tokens_a", "tokens_b"), F.array_union("acr_a", "acr_b"))) > 0
-    alike = ((F.col("n_shared") >= 4) & (share >= 0.5)) | ((share >= 0.35) & acronym)
-    close = F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) <= hours * 3_600_000_000
-    return both.where(alike & close).select("row_a", "row_b", "n_shared")
+def tokens_tell(t_a: Column, t_b: Column, acr_a: Column, acr_b: Column) -> Column:
+    """Four shared tokens and half of the smaller title, or three, 35 % and an acronym of both among them."""
+    shared = F.array_intersect(t_a, t_b)
+    n, share = F.size(shared), F.size(shared) / F.greatest(F.lit(1), F.least(F.size(t_a), F.size(t_b)))
+    acronym = F.size(F.array_intersect(F.array_intersect(shared, acr_a), acr_b)) > 0
+    return F.coalesce(((n >= 4) & (share >= 0.5)) | ((n >= 3) & (share >= 0.35) & acronym), F.lit(False))
+
+
+def pairs_by_words(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
+    """Pairs of ``titled`` rows near in time with equal normalised titles, or whose tokens tell of one event."""
+    equal = near_in_time(rows.select("row", "ts", F.col("norm").alias("token")), hours)
+    met = near_in_time(postings(rows, "tokens", F.size("tokens") - 2), hours)
+    both = _both(met, rows, "tokens", "acronyms")
+    return equal.union(both.where(tokens_tell(F.col("tokens_a"), F.col("tokens_b"), F.col("acronyms_a"), F.col("acronyms_b"))).select("row_a", "row_b")).distinct()
+
+
+def pairs_by_ratio(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
+    """Pairs of ``titled`` rows near in time whose long normalised titles have a sequence ratio of 0.9 and more.
+
+    One inserted or deleted character destroys three trigrams at most, so two such titles share one of the rarest
+    trigrams that the most changes can destroy, and one more; and it changes three bigrams at most, so signatures of
+    bigram parities differ in no more bits than three a change. (A title that repeats itself so much that it has no more
+    trigrams than can be destroyed is looked up by all of them.) The later row stands first, as the order matters.
+    """
+    long = rows.where(F.length("norm") > RATIO_LENGTH).withColumns({"grams": similarity.grams(F.col("norm")), "n": F.length("norm")})
+    long = long.withColumns(similarity.signature(F.col("norm")))
+    most = F.floor(F.col("n") * (2 * (1 - RATIO) / RATIO) + 1e-9).cast("int")
+    changes = F.floor((F.col("n_x") + F.col("n_y")) * (1 - RATIO) + 1e-9)
+    fits = (F.abs(F.col("n_x") - F.col("n_y")) <= changes) & (similarity.differing("_x", "_y") <= 3 * changes)
+    also = ("n", *similarity.SIGNATURE)
+    met = _both(near_in_time(postings(long, "grams", 3 * most + 1, *also), hours, *also, keep=fits), long, "ts", "norm", "grams")
+    a, b = F.col("norm_a"), F.col("norm_b")
+    met = met.where(similarity.may_be_close(a, b, F.col("grams_a"), F.col("grams_b"), RATIO) & similarity.may_be_close(b, a, F.col("grams_b"), F.col("grams_a"), RATIO))
+    older = F.struct("ts_a", (-F.col("row_a")).alias("r")) < F.struct(F.col("ts_b").alias("ts_a"), (-F.col("row_b")).alias("r"))
+    return met.where(similarity.ratio_at_least(F.when(older, a).otherwise(b), F.when(older, b).otherwise(a), RATIO)).select("row_a", "row_b")
+
+
+def same_event_pairs(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
+    """``rows``: row, ts, title. All pairs that tell of the same event by any of the four rules."""
+    t = titled(rows)
+    return pairs_by_words(t, hours).union(pairs_by_ratio(t, hours)).distinct()
+
+
+def overlap(a: Column, b: Column) -> Column:
+    return text.overlap(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+
+
+def joined_reason(lead: str, shared: Column, n: int) -> Column:
+    return F.when(F.size(shared) > 0, F.concat(F.lit(lead), F.array_join(F.slice(F.array_sort(shared), 1, n), "、")))
+
+
+def history_links(report: DataFrame, archive: DataFrame, least: int = LIMITS.history_min_score, n: int = LIMITS.history_links) -> DataFrame:
+    """The best ``n`` earlier items of every item of a report, with points, label and reasons.
+
+    Both sides: row, id, day, title, summary, category, tags. The report has a fixed number of items (a top list), so it
+    is broadcast, and the archive is read once, without a shuffle of it.
+    """
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        title, body = text.clean_text(F.col("title")), text.clean_text(F.col("summary"))
+        t = df.select("row", "id", "day", text.strip(F.coalesce("category", F.lit(""))).alias("cat"), title.alias("title"), body.alias("body"), "tags")
+        lower = F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda w: F.lower(text.squeeze(w))), lambda w: w != ""))
+        t = t.withColumns({"tt": text.history_tokens(F.col("title")), "tb": text.history_tokens(F.col("body")), "tags": lower, "norm": text.normalized_title(F.col("title")), "tokens": text.title_tokens(F.col("title")), "acr": text.acronyms(F.col("title"))})
+        t = t.withColumns({"all": F.array_union("tt", "tb"), "grams": similarity.grams(F.col("norm"))}).drop("tb", "title", "body")
+        return t.select(*(F.col(c).alias(f"{c}_{x}") for c in t.columns))
+
+    a, b = side(report, "a"), side(archive, "b")
+    day = F.col("day_a")
+    pairs = b.join(F.broadcast(a), (F.col("day_b") < day) & (F.col("day_b") >= F.date_sub(day, LIMITS.history_days)) & F.col("id_b").isNotNull() & ~F.col("id_a").eqNullSafe(F.col("id_b")))
+    c = lambda name: (F.col(f"{name}_a"), F.col(f"{name}_b"))
+    long = (F.length("norm_a") > RATIO_LENGTH) & (F.length("norm_b") > RATIO_LENGTH)
+    words = (F.col("norm_a") == F.col("norm_b")) | tokens_tell(*c("tokens"), *c("acr"))
+    maybe = long & ~words & similarity.may_be_close(*c("norm"), *c("grams"), RATIO)
+    pairs = pairs.withColumns({"st": F.array_intersect(*c("tt")), "sa": F.array_intersect(*c("all")), "sg": F.array_intersect(*c("tags")), "words": words})
+    pairs = pairs.withColumn("direct", F.col("words") | similarity.ratio_at_least(F.when(maybe, F.col("norm_a")), F.when(maybe, F.col("norm_b")), RATIO))
+    t, body = overlap(*c("tt")), overlap(*c("all"))
+    lexical = (F.size("st") >= 2) | (F.size("sa") >= 3) | (t >= 0.28) | (body >= 0.2)
+    same = F.col("cat_a") == F.col("cat_b")
+    points = F.bround(F.lit(55) * t + F.lit(27) * body + F.lit(10) * overlap(*c("tags")) + F.when(same, 5).otherwise(0) + F.when(F.col("direct"), 18).otherwise(0))
+    why = F.slice(F.array_compact(F.array(
+        F.when(F.col("direct"), F.lit("标题结构显示为同一事件的后续报道")), joined_reason("标题共享关键词：", F.col("st"), 4), joined_reason("共同标签：", F.col("sg"), 3),
+        F.when(same, F.concat(F.lit("同属"), F.when(F.col("cat_a") != "", F.col("cat_a")).otherwise("同一主题"))),
+    )), 1, 3)
+    scored = pairs.where(lexical | F.col("direct")).select("row_a", "row_b", "day_b", "direct", F.greatest(F.lit(0), F.least(F.lit(100), points.cast("int"))).alias("points"), why.alias("reasons")).where(F.col("points") >= least)
+    out = first_per_key(scored, ["row_a"], [F.desc("points"), F.desc("day_b"), F.asc("row_b")], n)
+    return out.withColumn("label", F.when(F.col("direct"), "同一事件后续").otherwise("相关主题演进"))
+
+
+def relation(category: Column, area: Column) -> Column:
+    enabling = category.isin(*ENABLED_CATEGORIES) & area.isin(*ENABLING_AREAS)
+    return F.when(enabling, "潜在使能技术").when((category == "航空航天") & area.isin(*MISSION_AREAS), "科学与任务背景").otherwise("同主题研究")
+
+
+def area_match(category: Column, area: Column, areas: dict[str, tuple[str, ...]]) -> Column:
+    out = F.lit(False)
+    for name, those in areas.items():
+        out = F.when(category == name, area.isin(*those)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def paper_links(news: DataFrame, papers: DataFrame, areas: dict[str, tuple[str, ...]] = NEWS_RESEARCH_AREAS, least: int = LIMITS.link_min_score, n: int = LIMITS.link_limit) -> DataFrame:
+    """The best ``n`` papers of every item among those of the same edition.
+
+    ``news``: row, day, title, summary, category, tags. ``papers``: row, day, title, abstract, tags, keywords, area, score;
+    an edition has a fixed number of papers (a top list), so the join by day grows with the items alone.
+    """
+    lower = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.lower(text.squeeze(w))), lambda w: w != ""))
+    words = lambda *cols: text.history_tokens(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in cols)))
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    clean = lambda df, *cols: df.withColumns({c: text.clean_text(F.col(c)) for c in cols})
+    a = clean(news, "title", "summary").select(F.col("row").alias("row_a"), "day", text.strip(F.coalesce("category", F.lit(""))).alias("cat"), words("title").alias("tt_a"), words("summary", listed("tags")).alias("tb_a"), lower("tags").alias("tags_a"))
+    b = clean(papers, "title", "abstract").select(F.col("row").alias("row_b"), "day", "area", F.col("score").alias("paper_score"), words("title").alias("tt_b"), words("abstract", listed("tags"), listed("keywords")).alias("tb_b"), lower("keywords").alias("keys_b"))
+    pairs = a.withColumn("all_a", F.array_union("tt_a", "tb_a")).join(b.withColumn("all_b", F.array_union("tt_b", "tb_b")), "day")
+    pairs = pairs.withColumns({"st": F.array_intersect("tt_a", "tt_b"), "sa": F.array_intersect("all_a", "all_b"), "n_hits": F.size(F.array_intersect("tags_a", "keys_b")), "match": area_match(F.col("cat"), F.col("area"), areas)})
+    pairs = pairs.where((F.size("st") >= 1) | (F.size("sa") >= 2) | (F.col("n_hits") > 0))
+    t, whole = text.overlap(F.size("st"), F.size("tt_a"), F.size("tt_b")), text.overlap(F.size("sa"), F.size("all_a"), F.size("all_b"))
+    points = F.bround(F.lit(48) * t + F.lit(28) * whole + F.when(F.col("match"), 14).otherwise(0) + F.least(F.lit(12), F.col("n_hits") * 6))
+    why = F.array_compact(F.array(F.coalesce(joined_reason("标题共同线索：", F.col("st"), 4), joined_reason("摘要共同线索：", F.col("sa"), 4)), F.when(F.col("match"), F.concat(F.lit("新闻主题与"), "area", F.lit("研究方向对应")))))
+    scored = pairs.select("row_a", "row_b", "paper_score", relation(F.col("cat"), F.col("area")).alias("relation"), F.greatest(F.lit(0), F.least(F.lit(100), points.cast("int"))).alias("points"), why.alias("reasons")).where(F.col("points") >= least)
+    return first_per_key(scored, ["row_a"], [F.desc("points"), F.desc("paper_score"), F.asc("row_b")], n)
+
+
+def reverse_links(links: DataFrame, when: DataFrame, n: int = LIMITS.link_limit) -> DataFrame:
+    """Of every paper the best ``n`` of the items that it was linked to; ``when``: row_a, published_at."""
+    return first_per_key(links.drop("place").join(when, "row_a"), ["row_b"], [F.desc("points"), F.desc_nulls_last("published_at"), F.asc("row_a")], n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.plans import sqltext as S
 from tidewire.plans.registry import query, table
 from tidewire.shared import scratch_path
-from tidewire.sources import feeds, files
+from tidewire.sources import feeds, sinks
 from tidewire.streaming import windows
 
 
@@ -15,7 +15,7 @@ from tidewire.streaming import windows
 def month_shards(spark, sf):
     """Shards written by month and read again; a filter on the month prunes directories."""
     path = scratch_path(spark, "shards")
-    files.write_shards(table(spark, sf, "edition_items"), path)
+    sinks.write_shards(table(spark, sf, "edition_items"), path)
     return spark.read.parquet(path).where("month >= '2026-07'").groupBy("month").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
@@ -25,9 +25,9 @@ def replaced_edition(spark, sf):
     """All editions written, then the last one written again with its better items only: the others stay."""
     path = scratch_path(spark, "editions")
     e = table(spark, sf, "edition_items").select("item_row", "score", "edition_date")
-    files.write_editions(e, path)
+    sinks.write_editions(e, path)
     last = table(spark, sf, "editions").agg(F.max("edition_date").alias("last"))
-    files.write_editions(e.join(F.broadcast(last)).where("edition_date = last AND score >= 50").drop("last"), path)
+    sinks.write_editions(e.join(F.broadcast(last)).where("edition_date = last AND score >= 50").drop("last"), path)
     return spark.read.parquet(path).groupBy(F.col("edition_date").cast("string").alias("edition_date")).agg(F.count("*").alias("n"))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.config import LIMITS, NEWS_RESEARCH_AREAS
 from tidewire.functions import text, web
-from tidewire.operators import clustering, linkage, scoring
+from tidewire.operators import clustering, linkage, scoring, selection
 from tidewire.plans import sqltext as S
 from tidewire.plans.registry import query, table
+from tidewire.plans.score_plans import AREAS, NOW, now, paper_candidates, papers_sql
+from tidewire.shared import written
 
 _URL = f"{S.canonical_url('url')}"
 
@@ -22,80 +25,175 @@ def dedup_url(spark, sf):
 
 
 def title_rows(spark, sf) -> DataFrame:
-    a = table(spark, sf, "articles").where("published_at IS NOT NULL AND title IS NOT NULL")
-    return a.select(F.col("article_row").alias("row"), F.col("published_at").cast("timestamp").alias("ts"), text.title_tokens(F.col("title")).alias("tokens"), text.acronyms(F.col("title")).alias("acronyms"))
+    """Collected articles as nodes: newest first, ties by their number."""
+    a = scoring.prepared(table(spark, sf, "articles").select("article_row", "title", "description", "url", "domain", "source", "published_at"), now())
+    return a.select(F.col("article_row").alias("row"), "ts", "title", "description", "url", "domain", "source", F.struct((-F.unix_micros("ts")).alias("t"), F.col("article_row").alias("n")).alias("ord"))
 
 
-_TITLES = f"t AS (SELECT article_row AS row_no, published_at AS ts, {S.title_tokens('title')} AS tokens, {S.acronyms('title')} AS acr FROM articles WHERE published_at IS NOT NULL AND title IS NOT NULL)"
+_TITLES = f"""prepared AS ({S.prepared(NOW)}),
+t AS (SELECT article_row AS row_no, ts, {S.norm_title('title')} AS norm, {S.title_tokens('title')} AS tokens, {S.acronyms('title')} AS acr FROM prepared)"""
 
 
 @query("join_same_event", f"""
-WITH {_TITLES}, pairs AS (SELECT a.row_no AS row_a, b.row_no AS row_b, list_intersect(a.tokens, b.tokens) AS shared, least(len(a.tokens), len(b.tokens)) AS smaller, list_concat(a.acr, b.acr) AS acr
+WITH {_TITLES}, pairs AS (SELECT a.row_no AS row_a, b.row_no AS row_b, a.norm = b.norm AS equal, list_intersect(a.tokens, b.tokens) AS shared, least(len(a.tokens), len(b.tokens)) AS smaller, list_intersect(a.acr, b.acr) AS acr
   FROM t a JOIN t b ON a.row_no < b.row_no AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 86400000000)
-SELECT row_a, row_b, CAST(len(shared) AS INTEGER) AS n_shared FROM pairs
-WHERE (len(shared) >= 4 AND len(shared) / smaller >= 0.5) OR (len(shared) >= 3 AND len(shared) / smaller >= 0.35 AND len(list_intersect(shared, acr)) > 0)""")
+SELECT row_a, row_b FROM pairs
+WHERE equal OR (len(shared) >= 4 AND len(shared) / smaller >= 0.5) OR (len(shared) >= 3 AND len(shared) / smaller >= 0.35 AND len(list_intersect(shared, acr)) > 0)""")
 def same_event(spark, sf):
-    return linkage.title_pairs(title_rows(spark, sf))
+    """Rules 1, 3 and 4: equal normalised titles, shared tokens, shared tokens with an acronym of both."""
+    return linkage.pairs_by_words(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")))
+
+
+@query("join_near_titles")
+def near_titles(spark, sf):
+    """Rule 2: the sequence ratio, which SQL does not know; held against all pairs in the tests."""
+    return linkage.pairs_by_ratio(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")))
+
+
+def clusters(spark, sf) -> DataFrame:
+    rows = title_rows(spark, sf)
+    return clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
 
 
 @query("join_leaders")
 def leaders(spark, sf):
-    """Clusters by title and time as a pass in order of time would form them; held against such a pass in the tests."""
-    rows = title_rows(spark, sf)
-    nodes = rows.select("row", F.struct((-F.unix_micros("ts")).alias("t"), "row").alias("ord"))
-    return clustering.leaders(nodes, linkage.title_pairs(rows))
+    """Clusters by address, title and time as a pass in order of time forms them; held against such a pass in the tests."""
+    return clusters(spark, sf)
+
+
+def evidence(spark, sf) -> DataFrame:
+    return clustering.evidence(title_rows(spark, sf).join(written(clusters(spark, sf), "clusters"), "row"))
+
+
+@query("agg_merged_evidence")
+def merged_evidence(spark, sf):
+    """What each cluster knows together: members, evidence, independent groups; held against a pass in the tests."""
+    return clustering.merged(evidence(spark, sf)).drop("description")
+
+
+@query("score_merged")
+def score_merged(spark, sf):
+    """The pipeline from collected articles to scored leaders, with corroboration and the best weight of all evidence."""
+    from tidewire.plans.score_plans import outlets
+
+    rows = written(evidence(spark, sf), "evidence")
+    weight = scoring.weighted_outlets(rows.where("kept").select("leader", "domain", "source"), *outlets(spark, sf)).groupBy("leader").agg(F.max("weight").alias("weight"))
+    lead = rows.where("row = leader").drop("description").join(clustering.merged(rows), "leader").join(weight, "leader")
+    also = table(spark, sf, "articles").select(F.col("article_row").alias("row"), "category", F.col("published_at").isNull().alias("estimated"))
+    return scoring.scored(lead.join(also, "row"), now()).select(F.col("row").alias("article_row"), F.col("best.name").alias("best_category"), "raw_score", "corroboration")
+
+
+_BEST = "score DESC NULLS LAST, published_at DESC NULLS LAST, item_row"
+
+
+def report_items(spark, sf) -> DataFrame:
+    """The ten best items of every edition; a top list, whatever the table's size."""
+    from tidewire.operators.selection import first_per_key
+    from tidewire.plans.rank_plans import by_score
 
+    e = table(spark, sf, "edition_items").withColumn("day", F.col("edition_date"))
+    return first_per_key(e, ["edition_date"], by_score(), 10).withColumn("row", F.col("item_row")).drop("place")
 
-_HIST = f"""h AS (SELECT item_row, edition_date, {S.category_key('category')} AS cat, {S.history_tokens("coalesce(title, '')")} AS tokens FROM edition_items),
-latest AS (SELECT max(edition_date) AS d FROM editions)"""
+
+_LOWER = lambda c: f"list_distinct(list_filter(list_transform(coalesce({c}, []), lambda w: lower({S.squeeze('w')})), lambda w: w <> ''))"
+_UNION = lambda a, b: f"list_distinct(list_concat({a}, {b}))"
+_SHARE = lambda a, b: f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) ELSE 0.0 END)"
+_SIDE = f"""c AS (SELECT item_row, id, edition_date, score, published_at, {S.strip("coalesce(category, '')")} AS cat, {_LOWER('tags')} AS tags, {S.clean('title')} AS ct, {S.clean('summary')} AS cs FROM edition_items),
+h AS (SELECT *, {S.history_tokens('ct')} AS tt, {_UNION(S.history_tokens('ct'), S.history_tokens('cs'))} AS al, {S.norm_title('ct')} AS norm, {S.title_tokens('ct')} AS tok, {S.acronyms('ct')} AS acr FROM c)"""
+_HISTORY = f"""{_SIDE}, latest AS (SELECT max(edition_date) AS d FROM editions),
+report AS (SELECT h.* FROM h, latest WHERE edition_date = d ORDER BY {_BEST} LIMIT 10),
+pairs AS (SELECT a.item_row AS row_a, b.item_row AS row_b, b.edition_date AS day_b, a.cat = b.cat AS same, list_intersect(a.tt, b.tt) AS st, len(list_intersect(a.al, b.al)) AS sa, {_SHARE('a.tt', 'b.tt')} AS t, {_SHARE('a.al', 'b.al')} AS al, {_SHARE('a.tags', 'b.tags')} AS g,
+  a.norm = b.norm OR (len(list_intersect(a.tok, b.tok)) >= 4 AND {_SHARE('a.tok', 'b.tok')} >= 0.5) OR (len(list_intersect(a.tok, b.tok)) >= 3 AND {_SHARE('a.tok', 'b.tok')} >= 0.35 AND len(list_intersect(list_intersect(list_intersect(a.tok, b.tok), a.acr), b.acr)) > 0) AS direct
+  FROM report a, h b WHERE b.edition_date < a.edition_date AND b.edition_date >= a.edition_date - 365 AND b.id IS NOT NULL AND a.id IS DISTINCT FROM b.id),
+scored AS (SELECT *, CAST(greatest(0, least(100, round_even(55 * t + 27 * al + 10 * g + CASE WHEN same THEN 5 ELSE 0 END + CASE WHEN direct THEN 18 ELSE 0 END, 0))) AS INTEGER) AS points FROM pairs
+  WHERE direct OR len(st) >= 2 OR sa >= 3 OR t >= 0.28 OR al >= 0.2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_a ORDER BY points DESC, day_b DESC, row_b) AS place FROM scored WHERE points >= 30)"""
+
+
+def history_of_report(spark, sf) -> DataFrame:
+    latest = table(spark, sf, "editions").agg(F.max("edition_date").alias("d"))  # one row
+    report = report_items(spark, sf).join(F.broadcast(latest), F.col("day") == F.col("d")).drop("d")
+    archive = table(spark, sf, "edition_items").select(F.col("item_row").alias("row"), "id", F.col("edition_date").alias("day"), "title", "summary", "category", "tags")
+    return linkage.history_links(report, archive)
 
 
 @query("join_history", f"""
-WITH {_HIST}, pairs AS (SELECT a.item_row AS row_a, b.item_row AS row_b, a.cat = b.cat AS same, len(list_intersect(a.tokens, b.tokens)) AS s, least(len(a.tokens), len(b.tokens)) AS m
-  FROM h a, h b, latest WHERE a.edition_date = d AND b.edition_date < d AND b.edition_date >= d - 365),
-scored AS (SELECT row_a, row_b, CAST(round_even(55 * s / m, 0) AS INTEGER) + CASE WHEN same THEN 5 ELSE 0 END AS points FROM pairs WHERE s >= 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY row_a ORDER BY points DESC, row_b) AS place FROM scored WHERE points >= 30)
-SELECT row_a, row_b, CAST(points AS INTEGER) AS points, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3""")
+WITH {_HISTORY} SELECT row_a, row_b, points, CAST(place AS INTEGER) AS place, CASE WHEN direct THEN '同一事件后续' ELSE '相关主题演进' END AS label FROM ranked WHERE place <= 3""")
 def history(spark, sf):
-    e = table(spark, sf, "edition_items")
-    latest = table(spark, sf, "editions").agg(F.max("edition_date").alias("d"))  # one row
-    rows = e.join(F.broadcast(latest)).select(F.col("item_row").alias("row"), "edition_date", "d", scoring.category_key(F.col("category")).alias("cat"), text.history_tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
-    new, old = rows.where("edition_date = d"), rows.where("edition_date < d AND edition_date >= date_sub(d, 365)")
-    pairs = linkage.shared_pairs(new.select("row", "tokens"), old.select("row", "tokens"), 3)
-    cats = lambda df, x: df.select(F.col("row").alias(f"row_{x}"), F.col("cat").alias(f"cat_{x}"))
-    pairs = pairs.join(cats(new, "a"), "row_a").join(cats(old, "b"), "row_b")
-    return linkage.best_links(pairs, linkage.overlap_points(55) + F.when(F.col("cat_a") == F.col("cat_b"), 5).otherwise(0), 30, 3)
+    """The latest report's ten items and what the archive of a year has on each."""
+    return history_of_report(spark, sf).select("row_a", "row_b", "points", "place", "label")
+
+
+@query("join_history_reasons", f"""
+WITH {_HISTORY} SELECT row_a, row_b, CASE WHEN direct THEN '标题结构显示为同一事件的后续报道|' ELSE '' END || CASE WHEN len(st) > 0 THEN '标题共享关键词：' || array_to_string(list_sort(st)[1:4], '、') ELSE '' END AS reasons FROM ranked WHERE place <= 3""")
+def history_reasons(spark, sf):
+    """The first reasons of each link: the same event, and the shared words of the titles."""
+    out = history_of_report(spark, sf)
+    said = F.filter("reasons", lambda r: r.startswith("标题共享关键词") | r.startswith("标题结构"))
+    joined = F.concat(F.array_join(said, "|"), F.when(F.col("direct") & (F.size(said) == 1), "|").otherwise(""))
+    return out.select("row_a", "row_b", joined.alias("reasons"))
+
+
+def edition_papers(spark, sf) -> DataFrame:
+    """The papers of every edition: of the week before its end of day, at most 60 and 12 of an area first, best score first."""
+    days = table(spark, sf, "editions").select(F.col("edition_date").alias("day"))
+    end = F.date_add("day", 1).cast("timestamp")
+    both = paper_candidates(spark, sf).join(days, scoring.in_paper_window(F.col("published_at"), F.col("updated_at"), end))
+    p = scoring.scored_papers(both, end, AREAS)
+    order = [F.desc("paper_score"), F.desc("updated_at"), F.asc("paper_row")]
+    # Cut in two steps: no area can fill more than 60 places of a day.
+    placed = selection.first_per_key(p, ["day", "area"], order, LIMITS.paper_limit).withColumn("over", F.col("place") > LIMITS.paper_per_area).drop("place")
+    return selection.first_per_key(placed, ["day"], [F.asc("over"), *order], LIMITS.paper_limit).drop("place")
 
 
-_NP = f"""n AS (SELECT item_row, {S.category_key('category')} AS cat, {S.history_tokens("coalesce(title, '') || ' ' || coalesce(summary, '')")} AS tokens FROM edition_items),
-p AS (SELECT paper_row, lower(coalesce(research_area, '')) AS area, {S.history_tokens("coalesce(title, '') || ' ' || coalesce(abstract, '')")} AS tokens FROM papers),
-pairs AS (SELECT item_row AS row_a, paper_row AS row_b, cat <> '' AND cat = area AS same, len(list_intersect(n.tokens, p.tokens)) AS s, least(len(n.tokens), len(p.tokens)) AS m FROM n, p),
-scored AS (SELECT row_a, row_b, CAST(round_even(76 * s / m, 0) AS INTEGER) + CASE WHEN same THEN 14 ELSE 0 END AS points FROM pairs WHERE s >= 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY row_a ORDER BY points DESC, row_b) AS place FROM scored WHERE points >= 24),
-forward AS (SELECT row_a, row_b, CAST(points AS INTEGER) AS points, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3)"""
+_EDITION_PAPERS = f"""p0 AS (SELECT p.*, e.edition_date AS day FROM papers p JOIN editions e ON greatest(p.published_at, coalesce(p.updated_at, p.published_at)) >= CAST(e.edition_date + 1 AS TIMESTAMP) - INTERVAL 7 DAY AND p.published_at <= CAST(e.edition_date + 1 AS TIMESTAMP) + INTERVAL 2 HOUR),
+p1 AS ({papers_sql('CAST(day + 1 AS TIMESTAMP)').replace(' FROM papers)', ' FROM p0)')}),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY day, area ORDER BY paper_score DESC, upd DESC, paper_row) > 12 AS over FROM p1),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY over, paper_score DESC, upd DESC, paper_row) AS place FROM p2)"""
+
+
+@query("topk_edition_papers", f"WITH {_EDITION_PAPERS} SELECT CAST(day AS VARCHAR) AS day, paper_row, area, CAST(place AS INTEGER) AS place FROM p3 WHERE place <= 60")
+def papers_of_editions(spark, sf):
+    p = edition_papers(spark, sf)
+    order = [F.asc("over"), F.desc("paper_score"), F.desc("updated_at"), F.asc("paper_row")]
+    return selection.first_per_key(p, ["day"], order, LIMITS.paper_limit).select(F.col("day").cast("string").alias("day"), "paper_row", "area", "place")
+
+
+#: An area named like a category belongs to it, beside the fixed ones.
+_AREAS = {n: (*those, n) for n, those in NEWS_RESEARCH_AREAS.items()}
 
 
 def news_to_papers(spark, sf) -> DataFrame:
-    e, p = table(spark, sf, "edition_items"), table(spark, sf, "papers")
-    joined = lambda *c: F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in c))
-    news = e.select(F.col("item_row").alias("row"), scoring.category_key(F.col("category")).alias("cat"), text.history_tokens(joined("title", "summary")).alias("tokens"))
-    papers = p.select(F.col("paper_row").alias("row"), F.lower(F.coalesce("research_area", F.lit(""))).alias("area"), text.history_tokens(joined("title", "abstract")).alias("tokens"))
-    pairs = linkage.shared_pairs(news.select("row", "tokens"), papers.select("row", "tokens"), 2)
-    pairs = pairs.join(news.select(F.col("row").alias("row_a"), "cat"), "row_a").join(papers.select(F.col("row").alias("row_b"), "area"), "row_b")
-    return linkage.best_links(pairs, linkage.overlap_points(76) + F.when((F.col("cat") != "") & (F.col("cat") == F.col("area")), 14).otherwise(0), 24, 3)
+    news = table(spark, sf, "edition_items").select(F.col("item_row").alias("row"), F.col("edition_date").alias("day"), "title", "summary", "category", "tags")
+    papers = written(edition_papers(spark, sf), "edition-papers").select(F.col("paper_row").alias("row"), "day", "title", "abstract", "tags", "keywords", "area", F.bround("paper_score").cast("int").alias("score"))
+    return linkage.paper_links(news, papers, _AREAS)
+
+
+_WORDS = lambda *c: S.history_tokens(" || ' ' || ".join(c))
+_MATCH = "CASE cat " + " ".join(f"WHEN '{n}' THEN area IN ({', '.join(f"'{a}'" for a in those)})" for n, those in _AREAS.items()) + " ELSE false END"
+_NP = f"""{_EDITION_PAPERS}, pt AS (SELECT *, list_filter(list_concat([area], all_keywords, [coalesce(primary_category, '')], {S.longest(S.found_words('body', scoring.TOPICS), 200)}), lambda w: w <> '') AS raw_tags FROM p3 WHERE place <= 60),
+pw AS (SELECT paper_row, day, area, CAST(round_even(paper_score, 0) AS INTEGER) AS ps, {_LOWER('all_keywords')} AS keys, {S.clean('title')} AS ct, {S.clean('abstract')} AS ca, array_to_string(list_filter(raw_tags, lambda w, i: list_position(raw_tags, w) = i)[1:5], ' ') AS tg, array_to_string(all_keywords, ' ') AS kw FROM pt),
+p AS (SELECT *, {_WORDS('ct')} AS tt, {_UNION(_WORDS('ct'), _WORDS('ca', 'tg', 'kw'))} AS al FROM pw),
+nw AS (SELECT item_row, edition_date AS day, {S.strip("coalesce(category, '')")} AS cat, {_LOWER('tags')} AS tags, {S.clean('title')} AS ct, {S.clean('summary')} AS cs, array_to_string(coalesce(tags, []), ' ') AS tg FROM edition_items),
+n AS (SELECT *, {_WORDS('ct')} AS tt, {_UNION(_WORDS('ct'), _WORDS('cs', 'tg'))} AS al FROM nw),
+pairs AS (SELECT item_row AS row_a, paper_row AS row_b, ps, cat, area, {_SHARE('n.tt', 'p.tt')} AS t, {_SHARE('n.al', 'p.al')} AS al, len(list_intersect(n.tt, p.tt)) AS st, len(list_intersect(n.al, p.al)) AS sa, len(list_intersect(n.tags, p.keys)) AS hits FROM n JOIN p USING (day)),
+scored AS (SELECT *, CAST(greatest(0, least(100, round_even(48 * t + 28 * al + CASE WHEN {_MATCH} THEN 14 ELSE 0 END + least(12, hits * 6), 0))) AS INTEGER) AS points FROM pairs WHERE st >= 1 OR sa >= 2 OR hits > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_a ORDER BY points DESC, ps DESC, row_b) AS place FROM scored WHERE points >= 24),
+forward AS (SELECT row_a, row_b, points, CAST(place AS INTEGER) AS place, CASE WHEN cat IN ('无人系统', 'AI', '军事动态') AND area IN ('机器人与无人系统', '自主与控制系统', '人工智能', '机器学习') THEN '潜在使能技术' WHEN cat = '航空航天' AND area IN ('天文与空间科学', '空间物理') THEN '科学与任务背景' ELSE '同主题研究' END AS relation FROM ranked WHERE place <= 3)"""
 
 
 @query("join_news_papers", f"WITH {_NP} SELECT * FROM forward")
 def news_papers(spark, sf):
-    return news_to_papers(spark, sf)
+    """The best three papers of every item, among the papers of its edition."""
+    return news_to_papers(spark, sf).select("row_a", "row_b", "points", "place", "relation")
 
 
 @query("join_papers_news", f"""
-WITH {_NP} SELECT row_b AS paper_row, row_a AS item_row, points FROM (SELECT *, row_number() OVER (PARTITION BY row_b ORDER BY points DESC, row_a) AS back FROM forward) WHERE back <= 3""")
+WITH {_NP} SELECT row_b AS paper_row, row_a AS item_row, points FROM (SELECT f.*, row_number() OVER (PARTITION BY row_b ORDER BY points DESC, published_at DESC NULLS LAST, row_a) AS back FROM forward f JOIN edition_items ON item_row = row_a) WHERE back <= 3""")
 def papers_news(spark, sf):
-    from tidewire.operators.selection import first_per_key
-
-    back = first_per_key(news_to_papers(spark, sf).drop("place"), ["row_b"], [F.desc("points"), F.asc("row_a")], 3)
+    """Of every paper the best three of the items that have it among their best."""
+    when = table(spark, sf, "edition_items").select(F.col("item_row").alias("row_a"), "published_at")
+    back = linkage.reverse_links(news_to_papers(spark, sf), when)
     return back.select(F.col("row_b").alias("paper_row"), F.col("row_a").alias("item_row"), "points")
 
 

@@ -15,10 +15,19 @@ def squeeze(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+ENTITIES = {"amp": "&", "AMP": "&", "lt": "<", "LT": "<", "gt": ">", "GT": ">", "quot": '"', "QUOT": '"', "apos": "''", "nbsp": "\u00a0", "hellip": "…", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "middot": "·", "copy": "©"}
+#: Names that count without a semicolon too.
+BARE = ("amp", "AMP", "lt", "LT", "gt", "GT", "quot", "QUOT", "nbsp", "middot", "copy")
+
+
 def clean(x: str) -> str:
-    """The entities that the test tables hold, then tags and blanks."""
-    decoded = f"regexp_replace(regexp_replace(coalesce({x}, ''), '&#82$', 'R'), '&(amp|AMP);', '&', 'g')"
-    return squeeze(f"regexp_replace({decoded}, '<[^>]+>', ' ', 'g')")
+    """Decoded once (numbers, and the names above), then without scripts, styles, tags, double blanks and the usual footer."""
+    named = " ".join(f"WHEN starts_with(p, '{n};') THEN '{c}' || substr(p, {len(n) + 2})" for n, c in ENTITIES.items())
+    bare = " ".join(f"WHEN starts_with(p, '{n}') THEN '{ENTITIES[n]}' || substr(p, {len(n) + 1})" for n in BARE)
+    number = "WHEN regexp_matches(p, '^#[0-9]+') THEN chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(p, '^#[0-9]+;?', '')"
+    decoded = f"array_to_string(list_transform(string_split(coalesce({x}, ''), '&'), lambda p, i: CASE WHEN i = 1 THEN p {number} {named} {bare} ELSE '&' || p END), '')"
+    plain = f"regexp_replace({decoded}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'g')"
+    return f"regexp_replace({squeeze(f"regexp_replace({plain}, '<[^>]+>', ' ', 'g')")}, '(?i)\\s*The post .* appeared first on .*$', '')"
 
 
 def clip(x: str, n: int) -> str:
@@ -86,3 +95,25 @@ def best_category(text: str, default: str) -> tuple[str, str]:
     listed = "[" + ", ".join(s for _, s in scores) + "]"
     names = "[" + ", ".join(f"'{n}'" for n, _ in scores) + "]"
     return f"{names}[list_position({listed}, list_max({listed}))]", f"list_max({listed})"
+
+
+def found_words(text: str, words: tuple[str, ...]) -> str:
+    """The words that occur, in the order given, as a list."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {keyword(text, w)} THEN '{w}' END" for w in words) + "], lambda w: w IS NOT NULL)"
+
+
+def longest(listed: str, n: int) -> str:
+    """The ``n`` longest words of a list, ties in its order."""
+    return f"list_transform(list_slice(list_sort(list_transform({listed}, lambda w, i: {{'n': -length(w), 'i': i, 'w': w}})), 1, {n}), lambda x: x.w)"
+
+
+def prepared(now: str, hours: int = 24) -> str:
+    """Articles as collected; a query of its own."""
+    host = f"regexp_replace(lower({strip("coalesce(domain, '')")}), '^www\\.', '')"
+    cleaned = f"SELECT article_row, {clean('title')} AS t, {clean('description')} AS d, {canonical_url('url')} AS url, {host} AS host, {squeeze("coalesce(source, '')")} AS source, category, published_at FROM articles"
+    return f"""SELECT article_row, {clip('t', 300)} AS title, {clip('d', 900)} AS description, url, CASE WHEN host <> '' THEN host ELSE {domain('url')} END AS domain, source, category,
+  coalesce(published_at, TIMESTAMP '{now}' - INTERVAL {hours} HOUR) AS ts, published_at IS NULL AS estimated FROM ({cleaned}) WHERE t <> ''"""
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.config import CATEGORIES, LIMITS
 from tidewire.operators import anomaly, scoring
 from tidewire.plans import sqltext as S
 from tidewire.plans.registry import query, table
+from tidewire.plans.score_plans import AREAS, NOW, now, paper_candidates, papers_sql
 
 _CAT = S.category_key("category")
 
@@ -56,35 +58,61 @@ def median_mad(spark, sf):
     return anomaly.median_mad(anomaly.daily_grid(e)).select("dim", "med", "mad")
 
 
-_TODAY = "DATE '2024-01-30'"
+_SQUEEZED = S.squeeze("coalesce(t, '')")
+_SIGNALS = f"""latest AS (SELECT max(edition_date) AS d FROM editions),
+e AS (SELECT edition_date AS day, {S.strip("coalesce(category, '')")} AS cat, coalesce(tags, []) AS tags, lower(coalesce(source, '')) AS grp FROM edition_items),
+names AS (SELECT 'entity' AS dimension, name, lower(name) AS needle FROM (SELECT DISTINCT {_SQUEEZED} AS name FROM (SELECT unnest(tags) AS t FROM e, latest WHERE day = d) WHERE {_SQUEEZED} <> '' ORDER BY 1 LIMIT 40)
+  UNION ALL SELECT 'category', c, c FROM (SELECT unnest([{', '.join(f"'{c}'" for c in CATEGORIES)}]) AS c)),
+each AS (SELECT day, grp, 'category' AS dimension, cat AS needle FROM e UNION ALL SELECT day, grp, 'entity', unnest(list_distinct(list_transform(tags, lambda t: lower({_SQUEEZED})))) FROM e),
+m AS (SELECT n.dimension, n.name, day, grp FROM each JOIN names n USING (dimension, needle)),
+days AS (SELECT DISTINCT day FROM e, latest WHERE day < d AND day >= d - 30),
+now AS (SELECT dimension, name, count(*) AS c, count(DISTINCT nullif(grp, '')) AS g FROM m, latest WHERE day = d GROUP BY ALL),
+base AS (SELECT n.dimension, n.name, days.day, count(m.day) AS n FROM now n CROSS JOIN days LEFT JOIN m ON m.dimension = n.dimension AND m.name = n.name AND m.day = days.day GROUP BY ALL),
+stat AS (SELECT dimension, name, median(n) AS med, mad(n) AS mad, count(*) AS observed FROM base GROUP BY ALL),
+judged AS (SELECT n.dimension, n.name, n.c, s.med, c / greatest(0.5, med) AS ratio, (c - med) / greatest(1, 1.4826 * mad) AS dev FROM now n JOIN stat s USING (dimension, name) WHERE observed >= 5 AND c >= 2 AND g >= 2),
+signals AS (SELECT *, CASE WHEN ratio >= 3 AND dev >= 3 THEN 'high' ELSE 'elevated' END AS severity FROM judged WHERE ratio >= 1.8 AND c - med >= 1.5 AND dev >= 1.5)"""
+
+
+def signal_items(spark, sf):
+    e = table(spark, sf, "edition_items")
+    return e.select(F.col("edition_date").alias("day"), "category", "tags", F.lower(F.coalesce("source", F.lit(""))).alias("grp"))
 
 
 @query("stat_anomalies", f"""
-WITH e AS (SELECT CAST(ts AS DATE) AS day, 'user ' || user_id AS dim, event_type AS grp FROM events),
-days AS (SELECT DISTINCT day FROM e WHERE day < {_TODAY} AND day >= {_TODAY} - 30), now AS (SELECT dim, count(*) AS c, count(DISTINCT grp) AS g FROM e WHERE day = {_TODAY} GROUP BY 1),
-base AS (SELECT n.dim, d.day, count(e.day) AS n FROM now n CROSS JOIN days d LEFT JOIN e ON e.dim = n.dim AND e.day = d.day GROUP BY 1, 2),
-stat AS (SELECT dim, median(n) AS med, mad(n) AS mad, count(*) AS observed FROM base GROUP BY 1),
-judged AS (SELECT n.dim, n.c, s.med, c / greatest(0.5, med) AS ratio, (c - med) / greatest(1, 1.4826 * mad) AS dev FROM now n JOIN stat s USING (dim) WHERE observed >= 7 AND c >= 2 AND g >= 2)
-SELECT dim, CAST(c AS BIGINT) AS current_count, CAST(round(ratio, 4) AS DOUBLE) AS ratio, CASE WHEN ratio >= 3 AND dev >= 3 THEN 'high' ELSE 'watch' END AS severity FROM judged WHERE ratio >= 1.8 AND c - med >= 1.5 AND dev >= 1.5""")
+WITH {_SIGNALS} SELECT dimension, name, CAST(c AS BIGINT) AS current_count, CAST(round_even(ratio, 1) AS DOUBLE) AS ratio, severity, CAST(row_number() OVER (ORDER BY severity = 'high' DESC, round_even(dev, 1) DESC, round_even(ratio, 1) DESC, dimension, name) AS INTEGER) AS place FROM signals""")
 def anomalies(spark, sf):
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.concat(F.lit("user "), "user_id").alias("dim"), F.col("event_type").alias("grp"))
-    out = anomaly.signals(e, F.lit("2024-01-30").cast("date"))
-    return out.select("dim", "current_count", F.round("ratio", 4).alias("ratio"), "severity")
+    """What stands out in the latest edition; five observed days are enough here, as the smallest tables have no more."""
+    latest = table(spark, sf, "editions").agg(F.max("edition_date").alias("d")).first()["d"]
+    out = anomaly.signals(signal_items(spark, sf), F.lit(latest), min_observed=5)
+    return out.select("dimension", "name", "current_count", F.bround("ratio", 1).alias("ratio"), "severity", "place")
 
 
-@query("stat_weekly_digest", """
-WITH w AS (SELECT event_id, edition_date, source, score, CAST(isoyear(edition_date) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(edition_date) AS VARCHAR), 2, '0') AS week FROM edition_items),
-g AS (SELECT week, event_id, max(coalesce(score, 0)) AS top, count(*) AS updates, count(DISTINCT lower(source)) AS sources, max(edition_date) AS last_seen FROM w GROUP BY ALL)
-SELECT week, event_id, CAST(points AS INTEGER) AS points FROM (
-  SELECT *, top + least(12, 2 * updates) + least(10, 2 * sources) AS points, row_number() OVER (PARTITION BY week ORDER BY top + least(12, 2 * updates) + least(10, 2 * sources) DESC, last_seen DESC, event_id) AS place FROM g) WHERE place <= 8""")
-def weekly_digest(spark, sf):
-    e = table(spark, sf, "edition_items")
-    week = F.concat(F.extract(F.lit("YEAROFWEEK"), "edition_date").cast("string"), F.lit("-W"), F.lpad(F.extract(F.lit("WEEK"), "edition_date").cast("string"), 2, "0"))
-    g = e.groupBy(week.alias("week"), "event_id").agg(F.max(F.coalesce("score", F.lit(0))).alias("top"), F.count("*").alias("updates"), F.count_distinct(F.lower("source")).alias("sources"), F.max("edition_date").alias("last_seen"))
-    points = (F.col("top") + F.least(F.lit(12), 2 * F.col("updates")) + F.least(F.lit(10), 2 * F.col("sources"))).cast("int")
-    from tidewire.operators.selection import first_per_key
+@query("agg_source_counts", "SELECT CAST(edition_date AS VARCHAR) AS edition_date, source, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY edition_date ORDER BY n DESC, source) AS INTEGER) AS place FROM (SELECT edition_date, coalesce(source, '未知来源') AS source, count(*) AS n FROM edition_items GROUP BY 1, 2)")
+def source_counts(spark, sf):
+    """Sources of every edition by falling count, then name."""
+    from pyspark.sql import Window as W
+
+    g = table(spark, sf, "edition_items").groupBy("edition_date", F.coalesce("source", F.lit("未知来源")).alias("source")).agg(F.count("*").alias("n"))
+    return g.select(F.col("edition_date").cast("string").alias("edition_date"), "source", "n", F.row_number().over(W.partitionBy("edition_date").orderBy(F.desc("n"), "source")).alias("place"))
+
+
+@query("agg_area_counts", f"SELECT area, CAST(count(*) AS BIGINT) AS n FROM ({papers_sql(f"TIMESTAMP '{NOW}'")}) GROUP BY 1")
+def area_counts(spark, sf):
+    return scoring.scored_papers(paper_candidates(spark, sf), now(), AREAS).groupBy("area").agg(F.count("*").alias("n"))
+
+
+@query("agg_quota_profile", f"""
+WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edition_date ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, item_row) AS place FROM edition_items) WHERE place <= 10),
+k AS (SELECT edition_date, {_CAT} AS category, {S.category_key('source')} AS source FROM top)
+SELECT CAST(edition_date AS VARCHAR) AS edition_date, kind, name, CAST(n AS BIGINT) AS n, n > CASE kind WHEN 'category' THEN 3 ELSE 2 END AS violated
+FROM (SELECT edition_date, kind, name, count(*) AS n FROM (SELECT edition_date, 'category' AS kind, category AS name FROM k UNION ALL SELECT edition_date, 'source', source FROM k) GROUP BY 1, 2, 3)""")
+def quota_profile(spark, sf):
+    """Of every report's ten items: counts by category and source, and which exceed three or two."""
+    from tidewire.plans.link_plans import report_items
 
-    return first_per_key(g.withColumn("points", points), ["week"], [F.desc("points"), F.desc("last_seen"), F.asc("event_id")], 8).select("week", "event_id", "points")
+    k = report_items(spark, sf).select("edition_date", F.explode(F.array(F.struct(F.lit("category").alias("kind"), scoring.category_key(F.col("category")).alias("name")), F.struct(F.lit("source").alias("kind"), scoring.category_key(F.col("source")).alias("name")))).alias("x"))
+    g = k.groupBy(F.col("edition_date").cast("string").alias("edition_date"), "x.kind", "x.name").agg(F.count("*").alias("n"))
+    return g.withColumn("violated", F.col("n") > F.when(F.col("kind") == "category", LIMITS.per_category).otherwise(LIMITS.per_domain))
 
 
 @query("dq_violations", f"""

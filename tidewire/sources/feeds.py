@@ -1,4 +1,8 @@
-"""RSS, Atom and preprint feeds that have been landed as files, one file a document."""
+"""RSS, Atom and preprint feeds that have been landed as files, one file a document.
+
+Python only takes the documents apart, into the elements of each entry in document order; which element means what is
+decided by column expressions.
+"""
 
 from __future__ import annotations
 
@@ -12,78 +16,88 @@ from pyspark.sql import functions as F
 from tidewire.functions import dates, text, web
 
 ENTRIES = 50
-SCHEMA = "feed string, title string, link string, description string, published_raw string, image string, entry_no int"
+ATTRIBUTES = ("href", "rel", "url", "medium", "type", "term")
+_PART = ["direct boolean", "tag string", "text string", *(f"{a} string" for a in ATTRIBUTES)]
+SCHEMA = f"feed string, entry_no int, parts array<struct<{', '.join(c.replace(' ', ':') for c in _PART)}>>"
+_PARTS = pa.list_(pa.struct([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.string()) for c in _PART]))
 
 
-def _name(node: ET.Element) -> str:
-    return node.tag.rsplit("}", 1)[-1].lower() if isinstance(node.tag, str) else ""
+def entries(document: bytes) -> list[list[dict]]:
+    """The elements of a feed's first entries; an unreadable document has none. Names lose their namespace and case."""
+    try:
+        root = ET.fromstring(document)
+    except ET.ParseError:
+        return []
+    found = [e for path in ("item", "entry") for e in root.iterfind(f".//{{*}}{path}")][:ENTRIES]
+    out = []
+    for entry in found:
+        own = set(map(id, entry))
+        parts = []
+        for e in entry.iterfind(".//*"):
+            of = {a: e.get(a) for a in ATTRIBUTES}
+            parts.append({"direct": id(e) in own, "tag": str(e.tag).rpartition("}")[2].lower(), "text": "".join(e.itertext()).strip()} | of)
+        out.append(parts)
+    return out
 
 
-def _text(node: ET.Element, *names: str) -> str | None:
-    """The text of the first direct child with one of the names, names in order of preference."""
-    for wanted in names:
-        for child in node:
-            if _name(child) == wanted and (value := "".join(child.itertext()).strip()):
-                return value
-    return None
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(path.rsplit("/", 1)[-1], i, parts) for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, parts in enumerate(entries(content))]
+        cols = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], _PARTS)], ["feed", "entry_no", "parts"])
 
 
-def _link(node: ET.Element) -> str | None:
-    for child in node:
-        if _name(child) == "link":
-            if child.get("href") and child.get("rel", "alternate") in ("alternate", ""):
-                return child.get("href")
-            if (child.text or "").strip():
-                return child.text.strip()
-    return _text(node, "guid", "id")
+def first_of(*tags: str) -> Column:
+    """The text of the first direct element with one of the names."""
+    return F.get(F.filter("parts", lambda p: p["direct"] & p["tag"].isin(*tags)), F.lit(0))["text"]
 
 
-def _image(node: ET.Element) -> str | None:
-    for child in node.iter():
-        kind = child.get("medium") == "image" or (child.get("type") or "").startswith("image/")
-        if child.get("url") and (_name(child) == "thumbnail" or _name(child) in ("content", "enclosure") and kind):
-            return child.get("url")
-    return None
+def link() -> Column:
+    """An alternate link's address or a link's text, whichever comes first, else the entry's identifier."""
+    address = F.transform(F.filter("parts", lambda p: p["direct"] & (p["tag"] == "link")), lambda p: F.when(p["href"].isNotNull() & F.coalesce(p["rel"], F.lit("alternate")).isin("alternate", ""), p["href"]).when(p["text"] != "", p["text"]))
+    return F.coalesce(F.get(F.array_compact(address), F.lit(0)), first_of("guid", "id"))
 
 
-def parse_feed(name: str, document: bytes) -> list[dict]:
-    """A feed's first entries; an unreadable document gives none."""
-    try:
-        root = ET.fromstring(document)
-    except ET.ParseError:
-        return []
-    rows = []
-    for i, node in enumerate([n for n in root.iter() if _name(n) in ("item", "entry")][:ENTRIES]):
-        rows.append({
-            "feed": name, "title": _text(node, "title"), "link": _link(node), "description": _text(node, "description", "summary", "content", "encoded"),
-            "published_raw": _text(node, "pubdate", "published", "updated", "date"), "image": _image(node), "entry_no": i,
-        })
-    return rows
+def image() -> Column:
+    """The address of a thumbnail, or of content or an enclosure that says it is an image."""
+    shown = lambda p: (p["tag"] == "thumbnail") | (p["tag"].isin("content", "enclosure") & ((p["medium"] == "image") | p["type"].startswith("image/")))
+    return F.get(F.filter("parts", lambda p: p["url"].isNotNull() & F.coalesce(shown(p), F.lit(False))), F.lit(0))["url"]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([(c, pa.int32() if c == "entry_no" else pa.string()) for c in (x.split()[0] for x in SCHEMA.split(", "))])
-    for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield pa.RecordBatch.from_pylist(parse_feed(path.rsplit("/", 1)[-1], content), kinds)
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_parse, SCHEMA)
 
 
 def read_feeds(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Entries of all feed files under ``path``: cleaned, with a date (a day before ``now`` where none is usable), web addresses only."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_parse, SCHEMA)
-    ts = dates.parse(F.col("published_raw"))
-    return raw.where(F.col("link").rlike("^https?://")).select(
-        "feed", "entry_no", text.clean_text(F.col("title"), 300).alias("title"), text.clean_text(F.col("description"), 900).alias("description"),
-        F.col("link").alias("url"), web.domain(F.col("link")).alias("domain"), web.article_id(F.col("link"), F.col("title")).alias("id"), "image",
+    """Entries of all feed files under ``path``: cleaned, with a date (a day before ``now`` where none is usable); only those with a title and a web address."""
+    ts, url, title = dates.parse(first_of("pubdate", "published", "updated", "date")), link(), text.clean_text(first_of("title"), 300)
+    return read_parts(spark, path).where(url.rlike("^https?://") & (title != "")).select(
+        "feed", "entry_no", title.alias("title"), text.clean_text(first_of("description", "summary", "content", "encoded"), 900).alias("description"),
+        web.canonical_url(url).alias("url"), web.domain(url).alias("domain"), web.article_id(url, title).alias("id"), image().alias("image"),
         F.coalesce(ts, now - F.expr("INTERVAL 24 HOURS")).alias("published_at"), ts.isNull().alias("date_estimated"),
     )
 
 
+def read_preprints(spark: SparkSession, path: str, now: Column, days: int = 7) -> DataFrame:
+    """Preprints of landed Atom documents: one row a preprint whatever its version (the first), its categories and at most
+    20 authors, only of the last ``days`` by publication or update."""
+    all_of = lambda tag, value: F.array_distinct(F.filter(F.transform(F.filter("parts", lambda p: p["tag"] == tag), lambda p: p[value]), lambda t: t.isNotNull() & (t != "")))
+    number = F.regexp_replace(F.regexp_extract(first_of("id"), r"([^/]+)$", 1), r"v\d+$", "")
+    pub, upd = dates.parse(first_of("published")), dates.parse(first_of("updated"))
+    rows = read_parts(spark, path).select(
+        number.alias("id"), text.clean_text(first_of("title"), 400).alias("title"), text.clean_text(first_of("summary"), 4000).alias("abstract"), pub.alias("published_at"), F.coalesce(upd, pub).alias("updated_at"),
+        F.slice(all_of("name", "text"), 1, 20).alias("authors"), all_of("category", "term").alias("categories"), F.struct("feed", "entry_no").alias("ord"),
+    ).where("id != '' AND title != ''")
+    recent = rows.where((F.greatest("published_at", "updated_at") >= now - F.make_interval(days=F.lit(days))) & (F.col("published_at") <= now + F.expr("INTERVAL 2 HOURS")))
+    one = recent.groupBy("id").agg(F.min_by(F.struct(*(c for c in rows.columns if c not in ("id", "ord"))), "ord").alias("x"))
+    return one.select("id", "x.*")
+
+
 def preprint_query(term: str) -> str:
     """A literal search for a term in titles and abstracts; several words are quoted."""
-    plain = " ".join(term.replace('"', " ").split())
+    plain = " ".join(term[:120].replace('"', " ").split())
     quoted = f'"{plain}"' if " " in plain else plain
-    return f"(ti:{quoted} OR abs:{quoted})"
+    return f"(ti:{quoted} OR abs:{quoted})" if plain else ""
 
 
 def latest_versions(papers: DataFrame) -> DataFrame:
