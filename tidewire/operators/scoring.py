@@ -126,6 +126,18 @@ def scored_papers(papers: DataFrame, now: Column, areas: tuple[tuple[str, str, i
 
     Adds area, keywords (with those that match), tags and paper_score (not rounded before it is published).
     """
+    return fresh_papers(paper_terms(papers, areas), now)
+
+
+def fresh_papers(terms: DataFrame, now: Column) -> DataFrame:
+    """What ``paper_terms`` gives, with paper_score at a moment."""
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(F.greatest("published_at", "updated_at"))) / F.lit(8.64e10))
+    score = F.col("base") + F.greatest(F.lit(0.0), F.lit(28.0) - age * 4) + F.col("topical")
+    return terms.withColumn("paper_score", F.least(F.lit(100.0), score.cast("double"))).drop("base", "topical")
+
+
+def paper_terms(papers: DataFrame, areas: tuple[tuple[str, str, int], ...] = PAPER_AREAS) -> DataFrame:
+    """What a paper's text and categories bring to its score, at any time."""
     none = F.array().cast("array<string>")
     some = lambda c: F.when(text.squeeze(F.coalesce(c, F.lit(""))) != "", text.squeeze(c))
     own = F.filter(F.coalesce("categories", none), lambda c: text.squeeze(c) != "")
@@ -140,11 +152,10 @@ def scored_papers(papers: DataFrame, now: Column, areas: tuple[tuple[str, str, i
     topics = lexicon.among(F.col("hits"), TOPICS)
     boost = F.least(F.lit(18), sum((F.when(hit, points).otherwise(0) for _, hit, points in met), F.lit(0)))
     n = F.length(F.coalesce("abstract", F.lit("")))
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(F.greatest("published_at", "updated_at"))) / F.lit(8.64e10))
-    score = F.lit(35) + F.lit(2) * F.col("found.priority") + F.greatest(F.lit(0.0), F.lit(28.0) - age * 4) + F.least(F.lit(14), F.lit(2) * F.size(topics)) + boost + F.when(n >= 500, 8).when(n >= 180, 5).otherwise(2)
+    topical = F.least(F.lit(14), F.lit(2) * F.size(topics)) + boost + F.when(n >= 500, 8).when(n >= 180, 5).otherwise(2)
     by_length = F.transform(F.array_sort(F.transform(topics, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), lambda x: x["w"])
     tags = F.array_distinct(F.filter(F.concat(F.array("area"), "keywords", F.array(F.coalesce("primary_category", F.lit(""))), by_length), lambda t: t.isNotNull() & (t != "")))
-    return df.withColumns({"paper_score": F.least(F.lit(100.0), score.cast("double")), "tags": F.slice(tags, 1, 5), "n_topics": F.size(topics)}).drop("hits", "found")
+    return df.withColumns({"base": F.lit(35) + F.lit(2) * F.col("found.priority"), "topical": topical, "tags": F.slice(tags, 1, 5), "n_topics": F.size(topics)}).drop("hits", "found")
 
 
 def in_paper_window(published: Column, updated: Column, now: Column, days: int = LIMITS.paper_days) -> Column:

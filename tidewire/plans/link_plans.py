@@ -50,19 +50,21 @@ def near_titles(spark, sf):
     return linkage.pairs_by_ratio(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")))
 
 
-def clusters(spark, sf) -> DataFrame:
-    rows = title_rows(spark, sf)
-    return clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
+def clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Collected articles, cleaned once, and the leader of each."""
+    rows = written(title_rows(spark, sf), "collected")
+    return rows, clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
 
 
 @query("join_leaders")
 def leaders(spark, sf):
     """Clusters by address, title and time as a pass in order of time forms them; held against such a pass in the tests."""
-    return clusters(spark, sf)
+    return clusters(spark, sf)[1]
 
 
 def evidence(spark, sf) -> DataFrame:
-    return clustering.evidence(title_rows(spark, sf).join(written(clusters(spark, sf), "clusters"), "row"))
+    rows, lead = clusters(spark, sf)
+    return clustering.evidence(rows.join(written(lead, "clusters"), "row"))
 
 
 @query("agg_merged_evidence")
@@ -138,8 +140,8 @@ def edition_papers(spark, sf) -> DataFrame:
     """The papers of every edition: of the week before its end of day, at most 60 and 12 of an area first, best score first."""
     days = table(spark, sf, "editions").select(F.col("edition_date").alias("day"))
     end = F.date_add("day", 1).cast("timestamp")
-    both = paper_candidates(spark, sf).join(days, scoring.in_paper_window(F.col("published_at"), F.col("updated_at"), end))
-    p = scoring.scored_papers(both, end, AREAS)
+    terms = written(scoring.paper_terms(paper_candidates(spark, sf), AREAS), "paper-terms")  # once a paper, not once a day
+    p = scoring.fresh_papers(terms.join(days, scoring.in_paper_window(F.col("published_at"), F.col("updated_at"), end)), end)
     order = [F.desc("paper_score"), F.desc("updated_at"), F.asc("paper_row")]
     # Cut in two steps: no area can fill more than 60 places of a day.
     placed = selection.first_per_key(p, ["day", "area"], order, LIMITS.paper_limit).withColumn("over", F.col("place") > LIMITS.paper_per_area).drop("place")
