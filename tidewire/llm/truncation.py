@@ -4,11 +4,12 @@ Texts become words: numbers and capitalised names stand for their kind, Han
 characters count as words, sentence ends as a mark. Over all texts every word
 trigram is counted inside (a word follows) and at ends (a sentence or the text
 ends). The last trigram of a text without a final stop is joined to these
-counts: frequent inside but almost never terminal means cut. A last word that is
-only the beginning of a frequent word (or number where years stand), a mark of
-the cut, and markup or a character broken off at the very end mean cut as
-well. Where a trigram is rare, its last pair and then its last word decide. A
-text's own last trigram is not counted for itself.
+counts first: frequent inside but almost never terminal means cut. What the
+trigrams do not show cut, may still end in a word that is only the beginning
+of a frequent word (capitalised ones as written, numbers where years stand),
+in a mark of the cut, or in markup, a character or a clause broken off. Where a
+trigram is rare, its last pair and then its last word decide. A text's own last
+trigram is not counted for itself. ``rule`` tells what decided.
 
 Defined results: null, empty and blank texts are no case; tags, links, notes
 and cut marks after a complete sentence make no case; equal texts are judged
@@ -32,7 +33,9 @@ TERMINAL = 0.05
 MARKS = r"(?:(?:…|\.\.\.+|。。。+|\[\s*(?:…|\.\.\.)\s*\]|\[\+?\d+ chars\]|\((?:more|continued)\)|（(?:更多|未完)）|(?i:continue reading|read more)|阅读全文|查看全文|展开全文)\s*)+$"
 
 _WORDS = r"""
-SELECT record_set, row_key, shown, cut_markup, marked, stopped, open_end,
+SELECT record_set, row_key, cut_markup, marked, stopped, open_end,
+  CASE WHEN cut_markup OR NOT stopped THEN regexp_extract(body, '(\\p{{Lu}}[\\p{{L}}\\p{{M}}]*)[^\\p{{L}}\\p{{M}}\\p{{N}}]*$', 1) ELSE '' END AS last_name,
+  regexp_extract_all(body, '(\\p{{Lu}}[\\p{{L}}\\p{{M}}]+)', 1) AS names,
   trim(regexp_replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
       concat('¶ ¶ ', body),
@@ -69,11 +72,15 @@ SELECT tri, count_if(NOT ended) AS inside, count_if(ended) AS ends FROM (
 """
 
 _LASTS = r"""
-  SELECT record_set, row_key, cut_markup, open_end, marked, last3, substring_index(last3, ' ', -2) AS last2, substring_index(last3, ' ', -1) AS last1,
+  SELECT record_set, row_key, cut_markup, open_end, marked, last_name, last3, substring_index(last3, ' ', -2) AS last2, substring_index(last3, ' ', -1) AS last1,
     concat(substring_index(last3, ' ', 2), ' ④') AS year3
   FROM (SELECT *, substring_index(words, ' ', -3) AS last3 FROM {words} WHERE cut_markup OR NOT stopped)
 """
 
+_NAMES = r"""
+SELECT name, count(*) AS n FROM (SELECT explode(names) AS name FROM {words}) GROUP BY name
+"""
+
 _JUDGED = r"""
 WITH bis AS (
   SELECT substring_index(tri, ' ', -2) AS bi, sum(inside) AS inside, sum(ends) AS ends FROM {tris} GROUP BY 1
@@ -83,25 +90,30 @@ WITH bis AS (
   SELECT left(uni, k) AS part, max(inside) AS of_inside FROM (
     SELECT uni, inside, explode(sequence(1, length(uni) - 1)) AS k FROM unis WHERE inside >= {often} AND length(uni) > 1
   ) GROUP BY 1
+), name_beginnings AS (
+  SELECT left(name, k) AS part, max(n) AS of_name FROM (SELECT name, n, explode(sequence(1, length(name) - 1)) AS k FROM {names} WHERE n >= {often} AND length(name) > 1) GROUP BY 1
 ), counted AS (
-  SELECT l.*,
+  SELECT l.*, greatest(0, coalesce(m.n, 1) - 1) AS as_name, coalesce(q.of_name, 0) AS of_name,
     coalesce(t.inside, 0) AS i3, greatest(0, coalesce(t.ends, 1) - 1) AS e3, coalesce(b.inside, 0) AS i2, greatest(0, coalesce(b.ends, 1) - 1) AS e2,
     coalesce(u.inside, 0) AS i1, greatest(0, coalesce(u.ends, 1) - 1) AS e1, coalesce(y.inside + y.ends, 0) AS years, coalesce(p.of_inside, 0) AS begun
   FROM {lasts} l
   LEFT JOIN {tris} t ON l.last3 = t.tri LEFT JOIN bis b ON l.last2 = b.bi LEFT JOIN unis u ON l.last1 = u.uni
   LEFT JOIN {tris} y ON l.year3 = y.tri AND l.last1 = '⓪' LEFT JOIN beginnings p ON l.last1 = p.part
+  LEFT JOIN {names} m ON l.last_name = m.name AND l.last1 = 'Ⓧ' LEFT JOIN name_beginnings q ON l.last_name = q.part AND l.last1 = 'Ⓧ'
 )
-SELECT *,
+SELECT record_set, row_key, verdict.cut AS cut, verdict.rule AS rule FROM (SELECT *,
   CASE
-    WHEN cut_markup OR open_end OR (marked AND last1 <> '¶') THEN true
-    WHEN last1 = '¶' OR last1 = '⌁' THEN false
-    WHEN i1 < {enough} AND i1 + e1 < {terminal} * begun THEN true
-    WHEN i3 + e3 < {terminal} * years THEN true
-    WHEN i3 + e3 >= {enough} THEN e3 / (i3 + e3) < {terminal}
-    WHEN i2 + e2 >= {enough} THEN e2 / (i2 + e2) < {terminal}
-    ELSE e1 / greatest(1, i1 + e1) < {terminal}
-  END AS cut
-FROM counted
+    WHEN last1 NOT IN ('¶', '⌁') AND i3 + e3 >= {enough} AND e3 / (i3 + e3) < {terminal} THEN struct(true AS cut, 'trigram' AS rule)
+    WHEN cut_markup OR open_end OR (marked AND last1 <> '¶') THEN struct(true AS cut, 'form' AS rule)
+    WHEN last1 = '¶' OR last1 = '⌁' THEN struct(false AS cut, 'form' AS rule)
+    WHEN i1 < {enough} AND i1 + e1 < {terminal} * begun THEN struct(true AS cut, 'beginning' AS rule)
+    WHEN as_name < {enough} AND as_name < {terminal} * of_name THEN struct(true AS cut, 'beginning' AS rule)
+    WHEN i3 + e3 < {terminal} * years THEN struct(true AS cut, 'beginning' AS rule)
+    WHEN i3 + e3 >= {enough} THEN struct(false AS cut, 'trigram' AS rule)
+    WHEN i2 + e2 >= {enough} THEN struct(e2 / (i2 + e2) < {terminal} AS cut, 'pair' AS rule)
+    ELSE struct(e1 / greatest(1, i1 + e1) < {terminal} AS cut, 'word' AS rule)
+  END AS verdict
+FROM counted)
 """
 
 
@@ -111,17 +123,13 @@ def in_words(texts: DataFrame) -> DataFrame:
 
 
 def judged(texts: DataFrame) -> DataFrame:
-    """``texts`` has record_set, row_key, text; one row for each text without a final stop, with counts and the verdict ``cut``."""
+    """``texts`` has record_set, row_key, text; one row for each text without a final stop, with the verdict ``cut`` and the ``rule`` that gave it."""
     spark = texts.sparkSession
-    words = in_words(texts)
+    words = written(in_words(texts), "words")  # made once; counts and last trigrams read their columns of it
     # Counted once: the pairs' and words' counts are sums of the trigrams', far fewer than the words of the texts.
-    tris = written(spark.sql(_COUNTED, words=words), "trigrams")
-    # Written as well: else every filter that Spark derives from a join reads the texts again.
-    # A text whose last character is a single stop, outside markup, is complete; its words are not made again.
-    ended = F.col("text").rlike(r"[^.。…][.!?。！？]$") & ~F.col("text").rlike(r"<[^<>]*$")
-    unended = in_words(texts.where(F.col("text").isNotNull() & ~ended))
-    lasts = written(spark.sql(_LASTS, words=unended), "last-trigrams")
-    return spark.sql(_JUDGED, lasts=lasts, tris=tris, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
+    tris, names = written(spark.sql(_COUNTED, words=words), "trigrams"), written(spark.sql(_NAMES, words=words), "names")
+    lasts = written(spark.sql(_LASTS, words=words), "last-trigrams")
+    return spark.sql(_JUDGED, lasts=lasts, tris=tris, names=names, enough=ENOUGH, often=FREQUENT, terminal=TERMINAL)
 
 
 def record_texts(spark: SparkSession, sf: str) -> DataFrame:
