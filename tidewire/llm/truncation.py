@@ -6,8 +6,8 @@ trigram is counted inside (a word follows) and at ends (a sentence or the text
 ends). The last trigram of a text without a final stop is joined to these
 counts first: frequent inside but almost never terminal means cut. What the
 trigrams do not show cut, may still end in a word that is only the beginning
-of a frequent word (capitalised ones as written, numbers where years stand),
-in a mark of the cut, or in markup, a character or a clause broken off. Where a
+of a frequent word, or of the word with which a frequent trigram goes on
+(capitalised ones as written, numbers where years stand), in a mark of the cut, or in markup, a character or a clause broken off. Where a
 trigram is rare, its last pair and then its last word decide. A text's own last
 trigram is not counted for itself. ``rule`` tells what decided.
 
@@ -30,7 +30,7 @@ ENOUGH, FREQUENT = 5, 50
 #: The share of terminal occurrences below which a last trigram means cut.
 TERMINAL = 0.05
 
-MARKS = r"(?:(?:…|\.\.\.+|。。。+|\[\s*(?:…|\.\.\.)\s*\]|\[\+?\d+ chars\]|\((?:more|continued)\)|（(?:更多|未完)）|(?i:continue reading|read more)|阅读全文|查看全文|展开全文)\s*)+$"
+MARKS = r"(?:(?:…|\.\.\.+|。。。+|\[\s*(?:…|\.\.\.)\s*\]|\[\+?\d+ chars\]|\((?:more|continued)\)|（(?:更多|未完|余下\d+字)）|(?i:continue reading|read more)|阅读全文|查看全文|展开全文)\s*)+$"
 
 _WORDS = r"""
 SELECT record_set, row_key, cut_markup, marked, stopped, open_end,
@@ -90,16 +90,20 @@ WITH bis AS (
   SELECT left(uni, k) AS part, max(inside) AS of_inside FROM (
     SELECT uni, inside, explode(sequence(1, length(uni) - 1)) AS k FROM unis WHERE inside >= {often} AND length(uni) > 1
   ) GROUP BY 1
+), trigram_beginnings AS (
+  SELECT concat(substring_index(tri, ' ', 2), ' ', left(substring_index(tri, ' ', -1), k)) AS part, max(inside) AS of_inside FROM (
+    SELECT tri, inside, explode(sequence(1, length(substring_index(tri, ' ', -1)) - 1)) AS k FROM {tris} WHERE inside >= {often} AND length(substring_index(tri, ' ', -1)) > 1
+  ) GROUP BY 1
 ), name_beginnings AS (
   SELECT left(name, k) AS part, max(n) AS of_name FROM (SELECT name, n, explode(sequence(1, length(name) - 1)) AS k FROM {names} WHERE n >= {often} AND length(name) > 1) GROUP BY 1
 ), counted AS (
-  SELECT l.*, greatest(0, coalesce(m.n, 1) - 1) AS as_name, coalesce(q.of_name, 0) AS of_name,
+  SELECT l.*, greatest(0, coalesce(m.n, 1) - 1) AS as_name, coalesce(q.of_name, 0) AS of_name, coalesce(g.of_inside, 0) AS begun3,
     coalesce(t.inside, 0) AS i3, greatest(0, coalesce(t.ends, 1) - 1) AS e3, coalesce(b.inside, 0) AS i2, greatest(0, coalesce(b.ends, 1) - 1) AS e2,
     coalesce(u.inside, 0) AS i1, greatest(0, coalesce(u.ends, 1) - 1) AS e1, coalesce(y.inside + y.ends, 0) AS years, coalesce(p.of_inside, 0) AS begun
   FROM {lasts} l
   LEFT JOIN {tris} t ON l.last3 = t.tri LEFT JOIN bis b ON l.last2 = b.bi LEFT JOIN unis u ON l.last1 = u.uni
   LEFT JOIN {tris} y ON l.year3 = y.tri AND l.last1 = '⓪' LEFT JOIN beginnings p ON l.last1 = p.part
-  LEFT JOIN {names} m ON l.last_name = m.name AND l.last1 = 'Ⓧ' LEFT JOIN name_beginnings q ON l.last_name = q.part AND l.last1 = 'Ⓧ'
+  LEFT JOIN trigram_beginnings g ON l.last3 = g.part LEFT JOIN {names} m ON l.last_name = m.name AND l.last1 = 'Ⓧ' LEFT JOIN name_beginnings q ON l.last_name = q.part AND l.last1 = 'Ⓧ'
 )
 SELECT record_set, row_key, verdict.cut AS cut, verdict.rule AS rule FROM (SELECT *,
   CASE
@@ -107,6 +111,7 @@ SELECT record_set, row_key, verdict.cut AS cut, verdict.rule AS rule FROM (SELEC
     WHEN cut_markup OR open_end OR (marked AND last1 <> '¶') THEN struct(true AS cut, 'form' AS rule)
     WHEN last1 = '¶' OR last1 = '⌁' THEN struct(false AS cut, 'form' AS rule)
     WHEN i1 < {enough} AND i1 + e1 < {terminal} * begun THEN struct(true AS cut, 'beginning' AS rule)
+    WHEN i3 + e3 < {enough} AND i3 + e3 < {terminal} * begun3 AND e1 < greatest({enough}, {terminal} * (i1 + e1)) THEN struct(true AS cut, 'beginning' AS rule)
     WHEN as_name < {enough} AND as_name < {terminal} * of_name THEN struct(true AS cut, 'beginning' AS rule)
     WHEN i3 + e3 < {terminal} * years THEN struct(true AS cut, 'beginning' AS rule)
     WHEN i3 + e3 >= {enough} THEN struct(false AS cut, 'trigram' AS rule)
