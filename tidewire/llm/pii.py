@@ -29,7 +29,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ from tidewire.shared import written
 SAME_LENGTH = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {c: " " for c in map(ord, "\t             　")} | {c: "-" for c in map(ord, "‐‑‒–—−")}
 
 AT = re.compile(r"@|[ ]?[(\[{][ ]?at[ ]?[)\]}][ ]?| at (?=[A-Za-z0-9-]+(?: dot |\.[a-z]))", re.I)
-LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?$")
+LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
 DOT = r"(?:\.|[ ]?[(\[{][ ]?dot[ ]?[)\]}][ ]?| dot )"
 DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*?{DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-])(?:{DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9-]))*", re.I)
 
@@ -69,9 +71,13 @@ ADDRESS = re.compile(
     r"(?:(?:[Ff]lat|[Uu]nit|[Aa]pt\.?|[Aa]partment|[Ss]uite|[Rr]oom) \d+[A-Za-z]?(?:, ?|/| ))?\d{1,5}[A-Za-z]?(?:"
     rf",? (?:rue|via|calle|chemin|place|avenue|boulevard) (?:(?:de|du|des|la|le|di|del) |d'|l')*{WORD}"
     rf"| (?:[A-ZÀ-Þ]{LETTERS} ){{1,3}}?{ROAD}(?![A-Za-z])| [a-zß-ÿ]{LETTERS} {ROAD.lower()}(?![A-Za-z]))"
-    rf"|{WORD}(?:straße|strasse|weg|allee|gasse|platz) \d{{1,4}}[a-z]?(?:, \d{{5}} {WORD})?"
     r")"
 )
+ADDRESS_DE = re.compile(rf"(?<![A-Za-z0-9/.-]){WORD}(?:straße|strasse|weg|allee|gasse|platz) \d{{1,4}}[a-z]?(?:, \d{{5}} {WORD})?")
+#: What every number, and every Chinese address, contains; the patterns are tried only around these.
+NUMBERS, HOUSE_ZH = re.compile(r"\d[\d ./()+-]{5,}"), re.compile(r"\d+号")
+#: Characters by which a pattern can begin before what it contains, and go on after it.
+BEFORE, AFTER, BEFORE_ZH = 4, 12, 40
 HAN = r"[㐀-鿿]"
 ADDRESS_ZH = re.compile(rf"(?:(?<=寄往)|(?<=住址为)|(?<=地址为)|(?<=地址:)|(?<=住在)|(?<=位于)){HAN}{{2,6}}?[市县区]{HAN}{{1,8}}?(?:大道|路|街|巷|弄|胡同)\d+号|{HAN}{{2}}市{HAN}{{1,6}}?(?:大道|路|街|巷|弄|胡同)\d+号")
 
@@ -103,16 +109,51 @@ DISCLOSURE, VARIETY = 3.0, 2.0
 Span = tuple[int, int, str]
 
 
+@lru_cache(1)
+def same_length_table() -> np.ndarray:
+    table = np.arange(0x110000, dtype=np.uint32)
+    table[list(SAME_LENGTH)] = [ord(c) if isinstance(c, str) else c for c in SAME_LENGTH.values()]
+    return table
+
+
+def same_lengths(texts: list[str]) -> list[str]:
+    """The texts in plain forms; those that need it all at once, by a table."""
+    odd = [i for i, t in enumerate(texts) if not t.isascii() or "\t" in t]
+    out = list(texts)
+    if odd:
+        sizes = np.fromiter((len(texts[i]) for i in odd), np.int64, len(odd))
+        codes = np.frombuffer("".join(texts[i] for i in odd).encode("utf-32-le", "surrogatepass"), np.uint32)
+        plain = same_length_table()[codes].tobytes().decode("utf-32-le", "surrogatepass")
+        ends = np.cumsum(sizes).tolist()
+        for i, a, b in zip(odd, [0, *ends], ends):
+            out[i] = plain[a:b]
+    return out
+
+
 def same_length(text: str) -> str:
-    return text if text.isascii() and "\t" not in text else text.translate(SAME_LENGTH)
+    return same_lengths([text])[0]
+
+
+def local_part(t: str, end: int, least: int) -> int:
+    """Where the part before an at sign begins, looked for back to ``least``; ``end`` where there is none."""
+    if end <= least or t[end - 1] not in LOCAL_CHARACTERS or t[end - 1] in ".%'":
+        return end
+    a = end
+    while a > least and t[a - 1] in LOCAL_CHARACTERS:
+        a -= 1
+    while a < end and not (t[a].isascii() and t[a].isalnum()):
+        a += 1
+    return a
 
 
 def _mail(t: str) -> Iterator[tuple[int, int]]:
+    after = 0
     for m in AT.finditer(t):
-        local = LOCAL.search(t[max(0, m.start() - 64) : m.start()])
-        domain = DOMAIN.match(t, m.end()) if local else None
+        a = local_part(t, m.start(), after)
+        domain = DOMAIN.match(t, m.end()) if a < m.start() else None
         if domain:
-            yield m.start() - (len(local[0])), domain.end()
+            yield a, domain.end()
+            after = domain.end()
 
 
 def protected(t: str) -> list[Span]:
@@ -122,16 +163,26 @@ def protected(t: str) -> list[Span]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in taken)
 
+    def add(kind: str, pattern: re.Pattern, spans: list[tuple[int, int]]) -> None:
+        for a, b in spans:
+            taken.extend((m.start(), m.end(), kind) for m in pattern.finditer(t, a, b) if free(m.start(), m.end()) and (kind != "phone" or 7 <= sum(c.isdigit() for c in m[0]) <= 15))
+
     if "@" in t or "at" in t or "AT" in t:
-        for a, b in _mail(t):
-            if free(a, b):
-                taken.append((a, b, "email"))
-    for kind, pattern in (("identity", IDENTITY), ("phone", PHONE), ("address", ADDRESS)):
-        for m in pattern.finditer(t):
-            if free(m.start(), m.end()) and (kind != "phone" or 7 <= sum(c.isdigit() for c in m[0]) <= 15):
-                taken.append((m.start(), m.end(), kind))
-    if not t.isascii() and "号" in t:
-        taken += [(m.start(), m.end(), "address") for m in ADDRESS_ZH.finditer(t) if free(m.start(), m.end())]
+        taken += [(a, b, "email") for a, b in _mail(t)]
+    numbers: list[tuple[int, int]] = []
+    for m in NUMBERS.finditer(t):
+        a, b = max(0, m.start() - BEFORE), m.end() + AFTER
+        if numbers and a <= numbers[-1][1]:
+            a = numbers.pop()[0]
+        numbers.append((a, b))
+    add("identity", IDENTITY, numbers)
+    add("phone", PHONE, numbers)
+    whole = [(0, len(t))]
+    if any(x in t for x in ("straße", "strasse", "weg", "allee", "gasse", "platz")):
+        add("address", ADDRESS_DE, whole)
+    add("address", ADDRESS, whole)
+    if "号" in t:
+        add("address", ADDRESS_ZH, [(max(0, m.start() - BEFORE_ZH), m.end()) for m in HOUSE_ZH.finditer(t)])
     return sorted(taken)
 
 
@@ -175,8 +226,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The one pass over the texts: each document's candidates, and counts of capitalised words."""
     for b in batches:
         words, docs, found = Counter(), [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            t = same_length(text)
+        for doc, t in zip(b.column(0).to_pylist(), same_lengths(b.column(1).to_pylist())):
             words.update(CAPITALISED.findall(t))
             if c := candidates(t):
                 docs.append(doc)

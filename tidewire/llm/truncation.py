@@ -36,16 +36,16 @@ _WORDS = r"""
 SELECT record_set, row_key, cut_markup, marked, stopped, open_end,
   CASE WHEN cut_markup OR NOT stopped THEN regexp_extract(body, '(\\p{{Lu}}[\\p{{L}}\\p{{M}}]*)[^\\p{{L}}\\p{{M}}\\p{{N}}]*$', 1) ELSE '' END AS last_name,
   regexp_extract_all(body, '(\\p{{Lu}}[\\p{{L}}\\p{{M}}]+)', 1) AS names,
-  trim(regexp_replace(
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  CASE WHEN han THEN trim(regexp_replace(regexp_replace(marked_up, '[^\\p{{L}}\\p{{M}}¶⌁⓪④Ⓧ]+|(?<=[\\x{{3400}}-\\x{{9FFF}}])|(?=[\\x{{3400}}-\\x{{9FFF}}])', ' '), ' +', ' '))
+    ELSE trim(regexp_replace(marked_up, '[^\\p{{L}}\\p{{M}}¶⌁⓪④Ⓧ]+', ' ')) END AS words
+FROM (SELECT *, body rlike '[\\x{{3400}}-\\x{{9FFF}}]' AS han,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
       concat('¶ ¶ ', body),
       'https?://[^ ]+', ' ⌁ '),
       '[.!?。！？]+(?=[^\\p{{L}}\\p{{N}}]|$)|[。！？]', ' ¶ '),
       '(?<![0-9])[0-9]{{4}}(?![0-9])', ' ④ '),
       '[0-9]+(?:[.,][0-9]+)*', ' ⓪ '),
-      '\\p{{Lu}}[\\p{{L}}\\p{{M}}]*', ' Ⓧ '),
-      '[^\\p{{L}}\\p{{M}}¶⌁⓪④Ⓧ]+|(?<=[\\x{{3400}}-\\x{{9FFF}}])|(?=[\\x{{3400}}-\\x{{9FFF}}])', ' '),
-    ' +', ' ')) AS words
+      '\\p{{Lu}}[\\p{{L}}\\p{{M}}]*', ' Ⓧ ') AS marked_up
 FROM (
   SELECT *,
     shown rlike '[.!?。！？][\\s"”’」』)）\\]】\']*$' AS stopped,
@@ -61,7 +61,7 @@ FROM (
       FROM {texts} WHERE text IS NOT NULL
     ) WHERE plain <> ''
   )
-)
+))
 """
 
 _COUNTED = r"""
