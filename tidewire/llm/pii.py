@@ -6,7 +6,8 @@ entities. One pass over the whole corpus then measures how strongly other terms
 reveal a person: a capitalised word followed by a rare capitalised word counts
 as a given name when its occurrences stand near a protected entity far more
 often than such words do by chance (pointwise mutual information over the
-disclosure threshold); a pair of Chinese cue words counts when what stands
+disclosure threshold) and are followed by many different words (entropy); a
+pair of Chinese cue words counts when what stands
 between them varies (entropy) and stands near protected entities; a word's own
 information (its rarity) tells a surname from a common word. Spans whose terms
 exceed the thresholds are names. In the sanitised text every mention is
@@ -100,11 +101,13 @@ CUED = re.compile("({})({}{{2,4}}?)({})".format(*("|".join(re.escape(c.translate
 #: Characters within which an entity counts as near.
 NEAR = 80
 #: A term is learned only above this share of documents and this count.
-SUPPORT, LEAST = 2e-4, 2
+SUPPORT, LEAST = 2e-5, 2
 #: Above this share of documents a capitalised word is common, and no surname.
 COMMON = 2e-3
 #: Bits of mutual information with protected entities above which a term is held to reveal a person; bits of entropy of what a cue pair holds.
 DISCLOSURE, VARIETY = 3.0, 2.0
+#: Of a term seen a few times only, its entropy must come so near to the most it can have.
+EVEN = 0.8
 
 Span = tuple[int, int, str]
 
@@ -191,7 +194,7 @@ def _near(spans: list[Span], starts: list[int], a: int, b: int) -> bool:
     return any(0 <= k < len(spans) and spans[k][0] - b <= NEAR and a - spans[k][1] <= NEAR for k in (i - 1, i))
 
 
-GATHERED = "doc_id long, found array<struct<rule:string,a:int,b:int,term:string,other:string,near:boolean>>, word string, n long"
+GATHERED = "doc_id long, same long, found array<struct<rule:string,a:int,b:int,term:string,other:string,near:boolean>>, word string, n long"
 _FOUND = pa.list_(pa.struct([("rule", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("term", pa.string()), ("other", pa.string()), ("near", pa.bool_())]))
 
 
@@ -225,16 +228,18 @@ def candidates(t: str) -> list[tuple[str, int, int, str, str, bool]]:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The one pass over the texts: each document's candidates, and counts of capitalised words."""
     for b in batches:
-        words, docs, found = Counter(), [], []
-        for doc, t in zip(b.column(0).to_pylist(), same_lengths(b.column(1).to_pylist())):
+        words, docs, at, found = Counter(), [], [], []
+        for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), same_lengths(b.column(1).to_pylist()))):
             words.update(CAPITALISED.findall(t))
             if c := candidates(t):
                 docs.append(doc)
+                at.append(i)
                 found.append([dict(zip(("rule", "a", "b", "term", "other", "near"), x)) for x in c])
         k, w = len(docs), len(words)
+        same = b.column(2).take(pa.array(at, pa.int64())).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs + [None] * w, pa.int64()), pa.array(found + [None] * w, _FOUND), pa.array([None] * k + list(words), pa.string()), pa.array([None] * k + list(words.values()), pa.int64())],
-            ["doc_id", "found", "word", "n"],
+            [pa.array(docs + [None] * w, pa.int64()), pa.array(same + [None] * w, pa.int64()), pa.array(found + [None] * w, _FOUND), pa.array([None] * k + list(words), pa.string()), pa.array([None] * k + list(words.values()), pa.int64())],
+            ["doc_id", "same", "found", "word", "n"],
         )
 
 
@@ -247,24 +252,27 @@ class Terms:
 
 def gather(docs: DataFrame) -> DataFrame:
     """All candidates of all documents, written once; everything after reads these few columns, not the texts."""
-    return written(docs.where("text IS NOT NULL").mapInArrow(_gathered, GATHERED), "candidates")
+    return written(docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(_gathered, GATHERED), "candidates")
 
 
 def learn(gathered: DataFrame, docs: int) -> Terms:
     """Statistics over all documents; only terms above their support leave the aggregation."""
     least = max(float(LEAST), SUPPORT * docs)
-    each = gathered.where("found IS NOT NULL").select(F.explode("found").alias("c")).select("c.*")
-    stats = each.where("rule IN ('pair', 'cued')").groupBy("rule", "term", "other").agg(F.count("*").alias("n"), F.sum(F.col("near").cast("long")).alias("near"))
+    each = gathered.where("found IS NOT NULL").select("same", F.explode("found").alias("c")).select("same", "c.*").where("rule IN ('pair', 'cued')")
+    # A text counts once, however often it names a person and is republished.
+    texts = each.groupBy("rule", "term", "other", "same").agg(F.max(F.col("near").cast("long")).alias("near"))
+    stats = texts.groupBy("rule", "term", "other").agg(F.count("*").alias("n"), F.sum("near").alias("near"))
     common = gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20.0, COMMON * docs)).select("word")
     first = F.substring_index("other", "-", 1)
     pairs = stats.where("rule = 'pair'").where(~F.col("term").rlike(f"^(?:{TITLES})$")).join(common.select(F.col("word").alias("first")), first == F.col("first"), "left_anti")
-    given = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.count("*").alias("kinds"))
+    entropy = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
+    given = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), entropy.alias("entropy"))
     given = written(given, "given")
     total = stats.where("rule = 'pair'").agg(F.sum("n"), F.sum("near")).first()  # chance: all pairs of capitalised words
     base = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
     bits = F.log2(F.col("near") / F.col("n") / F.lit(base))
-    given = given.where((F.col("n") >= least) & (F.col("kinds") * 2 > F.col("n")) & (F.col("near") > 0)).where(bits >= DISCLOSURE)
-    cue = stats.where("rule = 'cued'").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
+    given = given.where((F.col("n") >= least) & (F.col("entropy") >= F.least(F.lit(VARIETY), EVEN * F.log2("n"))) & (F.col("near") > 0)).where(bits >= DISCLOSURE)
+    cue = stats.where("rule = 'cued'").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), entropy.alias("entropy"))
     cue = cue.where((F.col("n") >= least) & (F.col("near") * 2 >= F.col("n")) & (F.col("entropy") >= VARIETY))
     return Terms(*(set(df.toArrow().column(0).to_pylist()) for df in (common, given.select("term"), cue.select("term"))))
 
@@ -276,7 +284,7 @@ def decided(found: list[dict], terms: Terms) -> list[Span]:
         rule, a, b = c["rule"], c["a"], c["b"]
         if rule in ("pair", "reversed") and c["term"] not in terms.given or rule == "cued" and c["term"] not in terms.cues:
             continue
-        if rule in ("titled", "pair", "reversed", "initial"):
+        if rule in ("pair", "reversed", "initial"):  # after a form of address a common word is a surname too
             if any(p in terms.common for p in c["other"].split("-")):
                 continue
         if all(b <= x or a >= y for x, y, _ in taken):
