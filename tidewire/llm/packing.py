@@ -29,6 +29,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,9 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(path: str):
+def _sizes(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -60,7 +61,9 @@ def _sizes(path: str):
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sizes(tokenizer), "doc_id long, n_tokens long").where("n_tokens > 0")
+    """Each text's length in tokens. The vocabulary file is sent to the executors, so it need only be where the driver is."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sizes(Path(tokenizer).name), "doc_id long, n_tokens long").where("n_tokens > 0")
 
 
 def best_fill(window: list[tuple[int, int]], room: int) -> tuple[int, dict[int, int]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import capping, history, leakage, neardup, packing, pii, topn, truncation
+from tidewire.llm import capping, history, leakage, neardup, packing, pii, sqltext, topn, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,4 +16,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": topn.SQL, "p5_found": capping.SQL}
+    return {"p1_found": sqltext.P1_FOUND, "p1_groups": sqltext.P1_GROUPS, "p2_found": topn.SQL, "p4_found": sqltext.P4_FOUND, "p5_found": capping.SQL}
