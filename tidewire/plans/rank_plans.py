@@ -41,17 +41,31 @@ def quota_single(spark, sf):
     return selection.capped_per_key(p, "research_area", [F.desc("n"), F.asc("paper_row")], 12, 60).select("paper_row", "research_area", "n")
 
 
-@query("topk_quota_dual")
+_POOL = f"""pool AS (SELECT CAST(row_number() OVER (ORDER BY {_BY}) AS INTEGER) AS ord, item_row, event_id, {S.category_key('category')} AS cat, {S.category_key('source')} AS src, score, published_at AS ts FROM (SELECT * FROM edition_items WHERE score IS NOT NULL ORDER BY {_BY} LIMIT 36))"""
+
+
+@query("topk_quota_dual", f"""
+WITH RECURSIVE {_POOL}, pass AS (SELECT 0 AS k, CAST([] AS STRUCT(o INTEGER, r BIGINT, a VARCHAR, b VARCHAR, p INTEGER)[]) AS acc
+  UNION ALL SELECT k + 1, CASE WHEN len(acc) < 10 AND NOT list_contains(list_transform(acc, lambda x: x.o), ord) AND (k // 36 > 0 OR len(list_filter(acc, lambda x: x.a = cat)) < 3) AND (k // 36 > 1 OR len(list_filter(acc, lambda x: x.b = src)) < 2)
+    THEN list_append(acc, {{'o': ord, 'r': CAST(item_row AS BIGINT), 'a': cat, 'b': src, 'p': CAST(k // 36 AS INTEGER)}}) ELSE acc END FROM pass JOIN pool ON ord = k % 36 + 1 WHERE k < 108)
+SELECT x.r AS row, x.a AS key_a, x.b AS key_b, x.p AS relaxed FROM (SELECT unnest(acc) AS x FROM pass WHERE k = 108)""")
 def quota_dual(spark, sf):
-    """Ten rows, at most three of a category and two of a source; no SQL twin (a greedy fold), held against a loop in the tests."""
+    """Ten rows, at most three of a category and two of a source; a greedy fold over a bounded pool."""
     e = table(spark, sf, "edition_items").where("score IS NOT NULL")
     rows = e.select(F.col("item_row").alias("row"), scoring.category_key(F.col("category")).alias("key_a"), scoring.category_key(F.col("source")).alias("key_b"), "score", "published_at")
     return selection.greedy_two_caps(rows, [F.desc("score"), F.desc_nulls_last("published_at"), F.asc("row")], 36, 10, 3, 2)
 
 
-@query("topk_spotlight")
+_FRESH = lambda field, column, points: f"CASE WHEN len(list_filter(acc, lambda x: x.{field} IS NOT DISTINCT FROM {column})) > 0 THEN 0 ELSE {points} END"
+
+
+@query("topk_spotlight", f"""
+WITH RECURSIVE {_POOL}, pick AS (SELECT 1 AS k, [{{'o': ord, 'r': CAST(item_row AS BIGINT), 'e': event_id, 'c': cat, 's': src}}] AS acc FROM pool WHERE ord = 1
+  UNION ALL SELECT k + 1, arg_max(next, key) FROM (SELECT k, list_append(acc, {{'o': ord, 'r': CAST(item_row AS BIGINT), 'e': event_id, 'c': cat, 's': src}}) AS next,
+    {{'e': {_FRESH('e', 'event_id', 40)}, 'c': {_FRESH('c', 'cat', 24)}, 's': {_FRESH('s', 'src', 14)}, 'score': score, 't': coalesce(ts, TIMESTAMP '1900-01-01'), 'o': -ord}} AS key FROM pick, pool WHERE k < 6 AND NOT list_contains(list_transform(acc, lambda x: x.o), ord)) GROUP BY k)
+SELECT CAST(place AS INTEGER) AS place, acc[place].r AS row FROM pick, unnest([1, 2, 3, 4, 5, 6]) AS t(place) WHERE k = 6""")
 def spotlight(spark, sf):
-    """The rows that bring most news one after another; no SQL twin, held against a loop in the tests."""
+    """The rows that bring most news one after another."""
     e = table(spark, sf, "edition_items").where("score IS NOT NULL").orderBy(*by_score()).limit(36)
     rows = e.withColumn("ord", F.row_number().over(W.orderBy(*by_score()))).select(
         "ord", F.col("item_row").alias("row"), F.col("event_id").alias("event"), scoring.category_key(F.col("category")).alias("category"), scoring.category_key(F.col("source")).alias("source"), "score", F.col("published_at").alias("ts")
