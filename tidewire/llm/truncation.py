@@ -50,16 +50,19 @@ FROM (
   SELECT *,
     shown rlike '[.!?。！？][\\s"”’」』)）\\]】\']*$' AS stopped,
     shown rlike '[,，、:：;；(（\\[“‘「『][\\s]*$' AS open_end,
-    regexp_replace(shown, '&(?:[a-zA-Z]+|#[0-9]+);', ' ') AS body
+    CASE WHEN contains(shown, '&') THEN regexp_replace(shown, '&(?:[a-zA-Z]+|#[0-9]+);', ' ') ELSE shown END AS body
   FROM (
-    SELECT record_set, row_key,
-      plain rlike '(?:<[a-zA-Z/!][^<>]*|<|&(?:[a-zA-Z]{{1,8}}|#[0-9]{{0,6}})?|\\x{{FFFD}})$' AS cut_markup,
-      regexp_replace(plain, '{marks}', '') <> plain AS marked,
-      regexp_replace(regexp_replace(plain, '{marks}', ''), '[\\s—–-]+$', '') AS shown
+    SELECT record_set, row_key, cut_markup, unmarked <> plain AS marked, CASE WHEN right(unmarked, 1) rlike '[\\s—–-]' THEN regexp_replace(unmarked, '[\\s—–-]+$', '') ELSE unmarked END AS shown
     FROM (
-      SELECT record_set, row_key, regexp_replace(regexp_replace(text, '<[a-zA-Z/!][^<>]*>', ' '), '(?U)^\\s+|\\s+$', '') AS plain
-      FROM {texts} WHERE text IS NOT NULL
-    ) WHERE plain <> ''
+      -- A pattern for an end is tried at every place of a text, so each is asked for only where the last characters allow it.
+      SELECT *,
+        (contains(plain, '<') OR contains(plain, '&') OR contains(plain, '�')) AND plain rlike '(?:<[a-zA-Z/!][^<>]*|<|&(?:[a-zA-Z]{{1,8}}|#[0-9]{{0,6}})?|\\x{{FFFD}})$' AS cut_markup,
+        CASE WHEN right(plain, 1) IN ('…', ']', ')', '）') OR right(plain, 3) IN ('...', '。。。') OR right(plain, 2) = '全文' OR lower(right(plain, 4)) = 'more' OR lower(right(plain, 7)) = 'reading' THEN regexp_replace(plain, '{marks}', '') ELSE plain END AS unmarked
+      FROM (
+        SELECT record_set, row_key, CASE WHEN left(plain, 1) rlike '(?U)\\s' OR right(plain, 1) rlike '(?U)\\s' THEN regexp_replace(plain, '(?U)^\\s+|\\s+$', '') ELSE plain END AS plain
+        FROM (SELECT record_set, row_key, CASE WHEN contains(text, '<') THEN regexp_replace(text, '<[a-zA-Z/!][^<>]*>', ' ') ELSE text END AS plain FROM {texts} WHERE text IS NOT NULL)
+      ) WHERE plain <> ''
+    )
   )
 ))
 """
