@@ -109,6 +109,8 @@ DISCLOSURE, VARIETY = 3.0, 2.0
 #: Of a term seen a few times only, its entropy must come so near to the most it can have.
 EVEN = 0.8
 
+ENTITIES = frozenset(("email", "identity", "phone", "address"))
+
 Span = tuple[int, int, str]
 
 
@@ -225,13 +227,28 @@ def candidates(t: str) -> list[tuple[str, int, int, str, str, bool]]:
     return out
 
 
+#: Counted beside the words: characters of all texts, and of those near a protected entity.
+ALL, CLOSE = "*all", "*near"
+
+
+def near_length(found: list[tuple], n: int) -> int:
+    """Characters of a text that stand near a protected entity."""
+    total, end = 0, 0
+    for a, b in sorted((max(0, x[1] - NEAR), min(n, x[2] + NEAR)) for x in found if x[0] in ENTITIES):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The one pass over the texts: each document's candidates, and counts of capitalised words."""
     for b in batches:
         words, docs, at, found = Counter(), [], [], []
         for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), same_lengths(b.column(1).to_pylist()))):
             words.update(CAPITALISED.findall(t))
+            words[ALL] += len(t)
             if c := candidates(t):
+                words[CLOSE] += near_length(c, len(t))
                 docs.append(doc)
                 at.append(i)
                 found.append([dict(zip(("rule", "a", "b", "term", "other", "near"), x)) for x in c])
@@ -262,14 +279,17 @@ def learn(gathered: DataFrame, docs: int) -> Terms:
     # A text counts once, however often it names a person and is republished.
     texts = each.groupBy("rule", "term", "other", "same").agg(F.max(F.col("near").cast("long")).alias("near"))
     stats = texts.groupBy("rule", "term", "other").agg(F.count("*").alias("n"), F.sum("near").alias("near"))
-    common = gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20.0, COMMON * docs)).select("word")
+    counted = gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    common = counted.where((F.col("n") >= max(20.0, COMMON * docs)) & ~F.col("word").isin(ALL, CLOSE)).select("word")
+    chars = {r["word"]: r["n"] for r in counted.where(F.col("word").isin(ALL, CLOSE)).collect()}
     first = F.substring_index("other", "-", 1)
     pairs = stats.where("rule = 'pair'").where(~F.col("term").rlike(f"^(?:{TITLES})$")).join(common.select(F.col("word").alias("first")), first == F.col("first"), "left_anti")
     entropy = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
     given = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), entropy.alias("entropy"))
     given = written(given, "given")
     total = stats.where("rule = 'pair'").agg(F.sum("n"), F.sum("near")).first()  # chance: all pairs of capitalised words
-    base = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
+    # Or by the text that is near an entity, where names themselves are most of these pairs.
+    base = min(((total[1] or 0) + 1) / ((total[0] or 0) + 2), (chars.get(CLOSE, 0) + 1) / (chars.get(ALL, 0) + 1))
     bits = F.log2(F.col("near") / F.col("n") / F.lit(base))
     given = given.where((F.col("n") >= least) & (F.col("entropy") >= F.least(F.lit(VARIETY), EVEN * F.log2("n"))) & (F.col("near") > 0)).where(bits >= DISCLOSURE)
     cue = stats.where("rule = 'cued'").groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), entropy.alias("entropy"))
