@@ -376,3 +376,17 @@ def test_atom(spark, sf):
     import xml.etree.ElementTree as ET
 
     assert len(ET.fromstring(doc).findall("{http://www.w3.org/2005/Atom}entry")) == 10
+
+
+def test_stream_of_many_files_equals_the_table(spark, tmp_path):
+    """Counts over several micro-batches, each of which changes windows of the one before."""
+    from tidewire.streaming import windows
+
+    t0 = dt.datetime(2026, 7, 1)
+    rows = [(t0 + dt.timedelta(minutes=17 * i), "ab"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, kind string")
+    for i in range(3):
+        df.where(F.minute("ts") % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    got = windows.run_updates(windows.hourly_counts(windows.read_stream(spark, str(tmp_path), "t.parquet"), "ts", "kind"), "hour", "kind")
+    want = df.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), "kind").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}

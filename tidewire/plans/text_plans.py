@@ -44,9 +44,9 @@ def article_ids(spark, sf):
 
 @query("fn_event_ids", f"""
 SELECT item_row, 'evt-' || left(sha1(CASE WHEN t = '' THEN 'unknown-event' ELSE t END), 12) AS own_event
-FROM (SELECT item_row, lower({S.squeeze("coalesce(title, '')")}) AS t FROM edition_items)""")
+FROM (SELECT item_row, lower({S.clean('title')}) AS t FROM edition_items)""")
 def event_ids(spark, sf):
-    return table(spark, sf, "edition_items").select("item_row", web.event_id(text.squeeze(F.coalesce("title", F.lit("")))).alias("own_event"))
+    return table(spark, sf, "edition_items").select("item_row", web.event_id(text.clean_text(F.col("title"))).alias("own_event"))
 
 
 @query("fn_title_tokens", f"""
@@ -61,10 +61,9 @@ def title_tokens(spark, sf):
 
 @query("fn_history_tokens", f"""
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
-FROM (SELECT doc_id, {S.history_tokens("coalesce(text, '')")} AS t FROM documents)""")
+FROM (SELECT doc_id, {S.history_tokens('c')} AS t FROM (SELECT doc_id, {S.clean('text')} AS c FROM documents))""")
 def history_tokens(spark, sf):
-    t = text.history_tokens(F.coalesce("text", F.lit("")))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("c")).select("doc_id", text.history_tokens(F.col("c")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 

@@ -29,14 +29,25 @@ def deduplicated(stream: DataFrame, ts: str, url: str, late: str = "26 hours") -
     return stream.withColumn("t", F.col(ts).cast("timestamp")).withColumn("canonical", web.canonical_url(F.col(url))).withWatermark("t", late).dropDuplicatesWithinWatermark(["canonical"])
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now, written to the shared folder and read back. With the append mode a window comes out when the watermark has passed it."""
+def run_once(stream: DataFrame) -> DataFrame:
+    """Everything that is there now, written to the shared folder in append mode and read back; a window comes out when the watermark has passed it."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    else:
-        # A micro-batch in complete mode replaces the result; repeated after a failure it writes the same.
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_updates(stream: DataFrame, *keys: str) -> DataFrame:
+    """Everything that is there now, in update mode: a batch writes only the keys that it has changed, state behind the
+    watermark is dropped, and of each key the last batch's values hold. A batch that is repeated after a failure writes
+    its own folder again."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/part-{batch}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").option("recursiveFileLookup", "true").parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, "x.*")
