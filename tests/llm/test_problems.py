@@ -281,6 +281,13 @@ history.AcceptedStore.found(s, "file://{tmp_path}/store", s.createDataFrame([(1,
     assert repeats(store, spark, [(1, None, "one two three four five sex"), (2, "A", None), (3, "b", "quite other words")]) == {1, 2}
 
 
+def test_history_of_nothing(spark, tmp_path):
+    """An empty history accepts all first rows, an empty batch changes nothing."""
+    store = history.AcceptedStore.found(spark, f"file://{tmp_path}/store", clean(spark.createDataFrame([], ROWS)))
+    assert repeats(store, spark, [(1, "a", "one two three"), (2, "A ", None), (3, None, "one two three"), (4, None, ""), (5, None, None)]) == {2, 3}
+    assert store.probe(clean(spark.createDataFrame([], ROWS))).count() == 0 and store.version == 1
+
+
 def test_history_of_a_much_varied_headline(spark, tmp_path):
     """The incoming titles share only frequent words with the accepted ones and with each other."""
     head = [f"head{i}" for i in range(9)]

@@ -24,6 +24,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,29 @@ def plain(text: str | None) -> str:
     return text.lower()
 
 
+#: The base of the rolling hash, and its inverse, as powers.
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 def _windows(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``n`` units within one row, and their first units."""
+    """Hashes of all windows of ``n`` units within one row, and their first units.
+
+    Rolled: with running sums of the units over falling powers of the base, each window's polynomial is the difference of
+    two sums, raised to its place; the work does not depend on the window's length.
+    """
     if len(values) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = len(values) - n + 1
-    total = np.zeros(m, np.uint64)
-    for j in range(n):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + values[j : j + m]
+    size = 1 << len(values).bit_length()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(pow(BASE, -1, 1 << 64), size)[: len(values)], dtype=np.uint64)])
+    total = (sums[n:] - sums[:m]) * _powers(BASE, size)[n - 1 : n - 1 + m]
     at = np.flatnonzero(rows[:m] == rows[n - 1 :])
     return X.mix(total[at]), at
 
