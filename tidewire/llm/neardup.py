@@ -53,7 +53,7 @@ THRESHOLD = 0.6
 #: A token in more sets than this is frequent; a rare token's bucket holds no more classes.
 RARE = 256
 #: Minwise values of a band over a set's frequent part; the chance with which an alike pair must share a band; bands at most.
-ROWS, SURE, BANDS = 4, 0.99, 34
+ROWS, SURE, BANDS = 4, 0.985, 31
 #: Slots of the table of token counts: what is sent to the tasks is this large at most, whatever the input.
 SLOTS = 1 << 21
 FINGERPRINT_BITS, PIVOTS = 512, 32
