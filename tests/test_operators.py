@@ -107,6 +107,28 @@ def test_pairs_of_one_event(spark):
     assert want["ratio"] <= ratio <= want["ratio"] | want["words"]
 
 
+def shuffled_rows(spark, action):
+    """Rows that the action's stages write to shuffles."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    total = lambda: sum(s.shuffleWriteRecords() for s in (sc._jsc.sc().listenerBus().waitUntilEmpty(30_000), jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))[1])
+    store = sc._jsc.sc().statusStore()
+    before = total()
+    return action(), total() - before
+
+
+def test_pairs_of_one_event_in_blocks_send_each_title_a_few_times(spark, monkeypatch):
+    rows = articles(random.Random(13), 300)
+    rows = [(r[0], dt.datetime(2026, 7, 20, 12) if r[0] % 5 == 0 else r[1], r[2]) for r in rows]  # many without a date of their own
+    df = spark.createDataFrame(rows, "row long, ts timestamp, title string")
+    later = lambda a, b: (a, b) if (a[1], -a[0]) < (b[1], -b[0]) else (b, a)
+    near = [later(a, b) for a, b in itertools.combinations(rows, 2) if abs(a[1] - b[1]) <= dt.timedelta(hours=24)]
+    want = sorted(tuple(sorted((a[0], b[0]))) for a, b in near if same(a[2], b[2]))
+    got, sent = shuffled_rows(spark, lambda: sorted(map(tuple, linkage.same_event_pairs(df).collect())))
+    assert got == want and sent <= 2 * len(rows) + 100  # not one row for each word or trigram
+    monkeypatch.setattr(linkage, "BLOCK", 70)
+    assert sorted(map(tuple, linkage.same_event_pairs(df).collect())) == want
+
+
 def sequential(rows):
     """Clusters, groups and counts as one pass in the order of time makes them."""
     wire = lambda r, desc: "wire:reuters" if r[5] == "reuters.com" or r[4].lower() == "reuters" or "(Reuters)" in desc else ""

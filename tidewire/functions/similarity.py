@@ -33,21 +33,6 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substring(c, i, F.lit(n))))
 
 
-SIGNATURE = ("sig0", "sig1", "sig2", "sig3")
-
-
-def signature(c: Column) -> dict[str, Column]:
-    """256 bits, each the parity of the number of bigrams that fall on it, as four numbers."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.pmod(F.xxhash64(F.substring(c, i, F.lit(2))), F.lit(256)).cast("int"))
-    word = lambda low: F.aggregate(F.filter(at, lambda b: (b >= low) & (b < low + 64)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b - low)))
-    return {name: word(64 * i) for i, name in enumerate(SIGNATURE)}
-
-
-def differing(x: str, y: str) -> Column:
-    """Bits in which the signatures with these suffixes differ."""
-    return sum((F.bit_count(F.col(f"{w}{x}").bitwiseXOR(F.col(f"{w}{y}"))) for w in SIGNATURE), F.lit(0))
-
-
 def may_be_close(a: Column, b: Column, grams_a: Column, grams_b: Column, least: float) -> Column:
     """False only where the ratio cannot reach ``least``: by length, and by the trigrams that so few changes can destroy."""
     changes = F.floor((F.length(a) + F.length(b)) * F.lit(1 - least) + 1e-9)

@@ -1,52 +1,27 @@
 """Rows that tell of the same event, and links of items with their history and with papers.
 
-Pairs are looked for within a day and the next only, so the work grows with the days, not with their square. Two sets
-that share at least ``c`` tokens share one of all but the last ``c - 1`` tokens of each, in any fixed order; leaving out
-each title's most common ``c - 1`` tokens drops the longest posting lists without losing a pair.
+Pairs are looked for within a day and the next only, each day in a task that holds its titles (``functions.titles``), so
+what is shuffled is the titles twice, whatever their words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.config import ENABLED_CATEGORIES, ENABLING_AREAS, LIMITS, MISSION_AREAS, NEWS_RESEARCH_AREAS
-from tidewire.functions import similarity, text
+from tidewire.functions import similarity, text, titles
 from tidewire.operators.selection import first_per_key
 from tidewire.shared import written
 
 RATIO, RATIO_LENGTH = 0.9, 24
-
-
-def postings(rows: DataFrame, column: str, kept: Column, *also: str) -> DataFrame:
-    """``rows``: row, ts, and an array. One posting for each element whose place, by how rare it is in its row, is at most ``kept``."""
-    each = rows.select("row", "ts", *also, F.explode(column).alias("token"), kept.alias("kept"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("row").orderBy(F.asc("df"), F.asc("token")))
-    return each.join(df, "token").withColumn("place", place).where("place <= kept").select("row", "ts", "token", *also)
-
-
-def near_in_time(posts: DataFrame, hours: int, *also: str, keep: Column | None = None) -> DataFrame:
-    """Pairs (row_a < row_b) of postings with one token, at most ``hours`` (of a day at most) apart; ``keep`` is a test on ``also`` with _x and _y."""
-    day = F.to_date("ts")
-    of = lambda x, names: [F.col(c).alias(f"{c}_{x}") for c in names]
-    a = posts.select("token", day.alias("day"), F.col("row").alias("x"), *of("x", ("ts", *also)))
-    b = posts.select("token", F.explode(F.array(day, F.date_sub(day, 1))).alias("day"), F.col("row").alias("y"), *of("y", ("ts", *also)))
-    close = F.abs(F.unix_micros("ts_x") - F.unix_micros("ts_y")) <= hours * 3_600_000_000
-    met = a.join(b, ["token", "day"]).where((F.col("x") != F.col("y")) & close & (F.lit(True) if keep is None else keep))
-    return met.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
-
-
-def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    of = lambda x: rows.select(F.col("row").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    return pairs.join(of("a"), "row_a").join(of("b"), "row_b")
+#: Titles of a day and the next that one task holds.
+BLOCK = 65536
 
 
 def titled(rows: DataFrame) -> DataFrame:
-    """``rows``: row, ts, title. Adds what the title rules need."""
-    norm = text.normalized_title(F.coalesce("title", F.lit("")))
-    return rows.withColumns({"norm": norm, "tokens": text.title_tokens(F.coalesce("title", F.lit(""))), "acronyms": text.acronyms(F.coalesce("title", F.lit("")))})
+    """``rows``: row, ts, title. What the title rules need; rows without a time meet none."""
+    return rows.where("ts IS NOT NULL").select(F.col("row").cast("long").alias("row"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("title", F.lit("")).alias("title"))
 
 
 def tokens_tell(t_a: Column, t_b: Column, acr_a: Column, acr_b: Column) -> Column:
@@ -57,39 +32,37 @@ def tokens_tell(t_a: Column, t_b: Column, acr_a: Column, acr_b: Column) -> Colum
     return F.coalesce(((n >= 4) & (share >= 0.5)) | ((n >= 3) & (share >= 0.35) & acronym), F.lit(False))
 
 
+def pairs_near_in_time(rows: DataFrame, hours: int, words: bool, ratio: bool) -> DataFrame:
+    """Pairs (row_a < row_b) of ``titled`` rows at most ``hours`` (of a day at most) apart that the rules asked for tell of, each once.
+
+    The titles travel, not what they are looked up by: every row goes to its day's task and, as a guest, to the task of the
+    day before; two guests meet elsewhere. A day with more than ``BLOCK`` rows and guests is cut into blocks, and every two
+    blocks make a task, so a task's memory is bounded.
+    """
+    day = F.floor(F.col("at") / F.lit(86_400_000_000)).cast("int")
+    each = rows.select("*", F.inline(F.array(F.struct(day.alias("bucket"), F.lit(False).alias("guest")), F.struct((day - 1).alias("bucket"), F.lit(True).alias("guest")))))
+    blocks = each.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")  # a row for each crowded day
+    each = each.join(F.broadcast(blocks), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    each = each.withColumn("own", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    tasks = each.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "guest", (F.col("own") < F.col("other")).alias("left"), "row", "at", "title")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work on each
+    sent = tasks.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sent.mapInArrow(titles.pairs_of_tasks(hours, words, (RATIO, RATIO_LENGTH) if ratio else None), "row_a long, row_b long")
+
+
 def pairs_by_words(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
     """Pairs of ``titled`` rows near in time with equal normalised titles, or whose tokens tell of one event."""
-    equal = near_in_time(rows.select("row", "ts", F.col("norm").alias("token")), hours)
-    met = near_in_time(postings(rows, "tokens", F.size("tokens") - 2), hours)
-    both = _both(met, rows, "tokens", "acronyms")
-    return equal.union(both.where(tokens_tell(F.col("tokens_a"), F.col("tokens_b"), F.col("acronyms_a"), F.col("acronyms_b"))).select("row_a", "row_b")).distinct()
+    return pairs_near_in_time(rows, hours, True, False)
 
 
 def pairs_by_ratio(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
-    """Pairs of ``titled`` rows near in time whose long normalised titles have a sequence ratio of 0.9 and more.
-
-    One inserted or deleted character destroys three trigrams at most, so two such titles share one of the rarest
-    trigrams that the most changes can destroy, and one more; and it changes three bigrams at most, so signatures of
-    bigram parities differ in no more bits than three a change. (A title that repeats itself so much that it has no more
-    trigrams than can be destroyed is looked up by all of them.) The later row stands first, as the order matters.
-    """
-    long = rows.where(F.length("norm") > RATIO_LENGTH).withColumns({"grams": similarity.grams(F.col("norm")), "n": F.length("norm")})
-    long = written(long.withColumns(similarity.signature(F.col("norm"))), "long-titles")  # read several times
-    most = F.floor(F.col("n") * (2 * (1 - RATIO) / RATIO) + 1e-9).cast("int")
-    changes = F.floor((F.col("n_x") + F.col("n_y")) * (1 - RATIO) + 1e-9)
-    fits = (F.abs(F.col("n_x") - F.col("n_y")) <= changes) & (similarity.differing("_x", "_y") <= 3 * changes)
-    also = ("n", *similarity.SIGNATURE)
-    met = _both(near_in_time(postings(long, "grams", 3 * most + 1, *also), hours, *also, keep=fits), long, "ts", "norm", "grams")
-    a, b = F.col("norm_a"), F.col("norm_b")
-    met = met.where(similarity.may_be_close(a, b, F.col("grams_a"), F.col("grams_b"), RATIO) & similarity.may_be_close(b, a, F.col("grams_b"), F.col("grams_a"), RATIO))
-    older = F.struct("ts_a", (-F.col("row_a")).alias("r")) < F.struct(F.col("ts_b").alias("ts_a"), (-F.col("row_b")).alias("r"))
-    return met.where(similarity.ratio_at_least(F.when(older, a).otherwise(b), F.when(older, b).otherwise(a), RATIO)).select("row_a", "row_b")
+    """Pairs of ``titled`` rows near in time whose long normalised titles have a sequence ratio of 0.9 and more; the later row of a pass (the older) stands first, as the order matters."""
+    return pairs_near_in_time(rows, hours, False, True)
 
 
 def same_event_pairs(rows: DataFrame, hours: int = LIMITS.lookback_hours) -> DataFrame:
     """``rows``: row, ts, title. All pairs that tell of the same event by any of the four rules."""
-    t = written(titled(rows), "titles")
-    return pairs_by_words(t, hours).union(pairs_by_ratio(t, hours)).distinct()
+    return pairs_near_in_time(titled(rows), hours, True, True)
 
 
 def hashed(tokens: Column) -> Column:

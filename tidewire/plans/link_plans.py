@@ -30,6 +30,11 @@ def title_rows(spark, sf) -> DataFrame:
     return a.select(F.col("article_row").alias("row"), "ts", "title", "description", "url", "domain", "source", F.struct((-F.unix_micros("ts")).alias("t"), F.col("article_row").alias("n")).alias("ord"))
 
 
+def collected_titles(spark, sf) -> DataFrame:
+    """Cleaned once, as the days are counted before the titles are sent."""
+    return written(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")), "titles")
+
+
 _TITLES = f"""prepared AS ({S.prepared(NOW)}),
 t AS (SELECT article_row AS row_no, ts, {S.norm_title('title')} AS norm, {S.title_tokens('title')} AS tokens, {S.acronyms('title')} AS acr FROM prepared)"""
 
@@ -41,18 +46,18 @@ SELECT row_a, row_b FROM pairs
 WHERE equal OR (len(shared) >= 4 AND len(shared) / smaller >= 0.5) OR (len(shared) >= 3 AND len(shared) / smaller >= 0.35 AND len(list_intersect(shared, acr)) > 0)""")
 def same_event(spark, sf):
     """Rules 1, 3 and 4: equal normalised titles, shared tokens, shared tokens with an acronym of both."""
-    return linkage.pairs_by_words(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")))
+    return linkage.pairs_by_words(collected_titles(spark, sf))
 
 
 @query("join_near_titles")
 def near_titles(spark, sf):
     """Rule 2: the sequence ratio, which SQL does not know; held against all pairs in the tests."""
-    return linkage.pairs_by_ratio(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")))
+    return linkage.pairs_by_ratio(collected_titles(spark, sf))
 
 
-def clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Collected articles, cleaned once, and the leader of each."""
-    rows = written(title_rows(spark, sf), "collected")
+def clusters(spark, sf, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Collected articles with the columns asked for, cleaned once, and the leader of each."""
+    rows = written(title_rows(spark, sf).select("row", "ts", "title", "url", "ord", *also), "collected")
     return rows, clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
 
 
@@ -63,7 +68,7 @@ def leaders(spark, sf):
 
 
 def evidence(spark, sf) -> DataFrame:
-    rows, lead = clusters(spark, sf)
+    rows, lead = clusters(spark, sf, "description", "domain", "source")
     return clustering.evidence(rows.join(written(lead, "clusters"), "row"))
 
 
