@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.config import CATEGORIES
 from tidewire.functions import similarity, text
 from tidewire.operators import anomaly, clustering, enrich, events, linkage, registry, reports, scoring, selection, views
+from tidewire.plans import link_plans
 from tidewire.sources import feeds, files, sinks
 
 
@@ -175,6 +176,17 @@ def test_clusters_and_their_evidence_equal_a_sequential_pass(spark):
     assert got == merged
 
 
+def test_only_what_shares_a_cluster_is_merged(spark, sf, monkeypatch):
+    lead = {r["row"]: r["leader"] for r in link_plans.leaders(spark, sf).collect()}
+    whole = link_plans.title_rows(link_plans.collected_rows(spark, sf)).join(link_plans.leaders(spark, sf), "row")
+    want = {tuple(r) for r in clustering.merged(clustering.evidence(whole)).drop("description").collect()}
+    seen, evidence = [], clustering.evidence
+    monkeypatch.setattr(clustering, "evidence", lambda rows: seen.extend(r["row"] for r in rows.select("row").collect()) or evidence(rows))
+    assert {tuple(r) for r in link_plans.merged_evidence(spark, sf).collect()} == want
+    shared = {x for k, x in lead.items() if k != x}
+    assert sorted(seen) == sorted(k for k, x in lead.items() if x in shared) and 0 < len(seen) < len(lead)
+
+
 def test_ratio_bounds_lose_none(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abcdefgh", k=rng.randrange(25, 60))) for _ in range(20)]

@@ -51,6 +51,13 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lead.select("row", F.col("row").alias("leader")).union(own).union(members)
 
 
+def parted(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lead``: row, leader. The rows of clusters of two and more, and the rows that are alone, which nothing has to be merged with."""
+    lead = written(lead, "clusters")
+    met = lead.where("row != leader").select("leader").distinct()
+    return lead.join(met, "leader", "left_semi"), lead.where("row = leader").join(met, "leader", "left_anti")
+
+
 def evidence(rows: DataFrame) -> DataFrame:
     """``rows``: row, ord, leader, title, description, source, domain, url. Adds ``grp``, who stands behind a row, and ``kept``, whether it is evidence of its own.
 

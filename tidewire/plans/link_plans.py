@@ -24,15 +24,19 @@ def dedup_url(spark, sf):
     return e.join(first, "u").select("item_row", "first_row")
 
 
-def title_rows(spark, sf) -> DataFrame:
+def collected_rows(spark, sf) -> DataFrame:
+    return table(spark, sf, "articles").select("article_row", "title", "description", "url", "domain", "source", "published_at")
+
+
+def title_rows(articles: DataFrame, *also: str) -> DataFrame:
     """Collected articles as nodes: newest first, ties by their number."""
-    a = scoring.prepared(table(spark, sf, "articles").select("article_row", "title", "description", "url", "domain", "source", "published_at"), now())
-    return a.select(F.col("article_row").alias("row"), "ts", "title", "description", "url", "domain", "source", F.struct((-F.unix_micros("ts")).alias("t"), F.col("article_row").alias("n")).alias("ord"))
+    a = scoring.prepared(articles, now())
+    return a.select(F.col("article_row").alias("row"), "ts", "title", "description", "url", "domain", "source", F.struct((-F.unix_micros("ts")).alias("t"), F.col("article_row").alias("n")).alias("ord"), *also)
 
 
 def collected_titles(spark, sf) -> DataFrame:
     """Cleaned once, as the days are counted before the titles are sent."""
-    return written(linkage.titled(title_rows(spark, sf).select("row", "ts", "title")), "titles")
+    return written(linkage.titled(title_rows(collected_rows(spark, sf)).select("row", "ts", "title")), "titles")
 
 
 _TITLES = f"""prepared AS ({S.prepared(NOW)}),
@@ -55,27 +59,30 @@ def near_titles(spark, sf):
     return linkage.pairs_by_ratio(collected_titles(spark, sf))
 
 
-def clusters(spark, sf, *also: str) -> tuple[DataFrame, DataFrame]:
-    """Collected articles with the columns asked for, cleaned once, and the leader of each."""
-    rows = written(title_rows(spark, sf).select("row", "ts", "title", "url", "ord", *also), "collected")
-    return rows, clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
+def clusters(spark, sf) -> DataFrame:
+    """The leader of each collected article; only what this needs is cleaned."""
+    rows = written(title_rows(collected_rows(spark, sf)).select("row", "ts", "title", "url", "ord"), "collected")
+    return clustering.leaders(rows.select("row", "ord", "url"), linkage.same_event_pairs(rows.select("row", "ts", "title")))
 
 
 @query("join_leaders")
 def leaders(spark, sf):
     """Clusters by address, title and time as a pass in order of time forms them; held against such a pass in the tests."""
-    return clusters(spark, sf)[1]
+    return clusters(spark, sf)
 
 
-def evidence(spark, sf) -> DataFrame:
-    rows, lead = clusters(spark, sf, "description", "domain", "source")
-    return clustering.evidence(rows.join(written(lead, "clusters"), "row"))
+def of_clusters(articles: DataFrame, lead: DataFrame) -> DataFrame:
+    """The articles in ``lead`` with their leader. Written as collected, so that no other article is cleaned."""
+    return title_rows(written(articles.join(lead.select(F.col("row").alias("article_row"), "leader"), "article_row"), "clustered"), "leader")
 
 
 @query("agg_merged_evidence")
 def merged_evidence(spark, sf):
     """What each cluster knows together: members, evidence, independent groups; held against a pass in the tests."""
-    return clustering.merged(evidence(spark, sf)).drop("description")
+    shared, alone = clustering.parted(clusters(spark, sf))
+    one = F.lit(1).cast("long")  # an article alone is its own only evidence
+    merged = clustering.merged(clustering.evidence(of_clusters(collected_rows(spark, sf), shared))).drop("description")
+    return merged.unionByName(alone.select("leader", one.alias("n_members"), one.alias("n_evidence"), one.alias("corroboration")))
 
 
 @query("score_merged")
@@ -83,11 +90,18 @@ def score_merged(spark, sf):
     """The pipeline from collected articles to scored leaders, with corroboration and the best weight of all evidence."""
     from tidewire.plans.score_plans import outlets
 
-    rows = written(evidence(spark, sf), "evidence")
-    weight = scoring.weighted_outlets(rows.where("kept").select("leader", "domain", "source"), *outlets(spark, sf)).groupBy("leader").agg(F.max("weight").alias("weight"))
-    lead = rows.where("row = leader").drop("description").join(clustering.merged(rows), "leader").join(weight, "leader")
+    shared, alone = clustering.parted(clusters(spark, sf))
+    rows = written(clustering.evidence(of_clusters(collected_rows(spark, sf), shared)), "evidence")
+    own = ("row", "ts", "title", "description", "leader", "domain", "source")
+    many = rows.where("row = leader").drop("description").join(clustering.merged(rows), "leader").select(*own, "corroboration")
+    # Of the articles alone only those of the window are scored, and one without a date stands at its edge.
+    recent = F.col("published_at").isNull() | scoring.in_window(F.col("published_at").cast("timestamp"), now())
+    single = of_clusters(collected_rows(spark, sf).where(recent), alone).select(*own, F.lit(1).cast("long").alias("corroboration"))
+    single = written(single, "alone")
+    kept = rows.where("kept").select("leader", "domain", "source").unionByName(single.select("leader", "domain", "source"))
+    weight = scoring.weighted_outlets(kept, *outlets(spark, sf)).groupBy("leader").agg(F.max("weight").alias("weight"))
     also = table(spark, sf, "articles").select(F.col("article_row").alias("row"), "category", F.col("published_at").isNull().alias("estimated"))
-    return scoring.scored(lead.join(also, "row"), now()).select(F.col("row").alias("article_row"), F.col("best.name").alias("best_category"), "raw_score", "corroboration")
+    return scoring.scored(many.unionByName(single).join(weight, "leader").join(also, "row"), now()).select(F.col("row").alias("article_row"), F.col("best.name").alias("best_category"), "raw_score", "corroboration")
 
 
 _BEST = "score DESC NULLS LAST, published_at DESC NULLS LAST, item_row"
