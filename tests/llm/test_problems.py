@@ -4,12 +4,14 @@ import datetime as dt
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire import shared
 from tidewire.llm import capping, history, leakage, neardup, packing, pii, topn, truncation
 from tidewire.llm import textops as X
 
@@ -143,6 +145,43 @@ def test_keys_lose_no_alike_pair():
                 assert met or len(common[a] & common[b]) >= 0.6 * len(common[a] | common[b])
 
 
+def test_parts_of_the_keys_are_all_keys():
+    """What is shuffled at once is about half of the keys, and the parts together are all of them, each once."""
+    flat, offsets = X.token_sets(list(edited(random.Random(6), 80).values()))
+    counts = np.ones(neardup.SLOTS, np.uint16)
+    slots, n = np.unique(neardup.slot(flat), return_counts=True)
+    counts[slots] = n
+    for rare in (4, 1000):
+        of = lambda **part: sorted(zip(*(c.tolist() for c in neardup.keys_of(flat, offsets, counts, 0.6, rare=rare, **part)), strict=True))
+        parts = [of(part=part, parts=neardup.PARTS) for part in range(neardup.PARTS)]
+        assert sorted(sum(parts, [])) == of() and max(map(len, parts)) < 0.6 * len(of())
+
+
+def test_near_duplicates_leave_no_shuffle_of_tables_behind(spark, monkeypatch):
+    """When a table is written, the shuffles of those before it are gone from the disk."""
+    disk, seen, write = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], neardup.written
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    def writing(df, name):
+        before = shuffled()
+        out = write(df, name)
+        for _ in range(50):
+            if not (left := shuffled() - before):
+                break
+            time.sleep(0.1)
+        seen.append(name)
+        assert not left, name
+        return out
+
+    monkeypatch.setattr(neardup, "written", writing)
+    before = spark.conf.get(shared.FREE_SHUFFLES)
+    neardup.groups(spark.createDataFrame(list(edited(random.Random(7), 20).items()), "id long, text string"), "id", F.col("text")).count()
+    assert seen.count("candidates") == neardup.PARTS and spark.conf.get(shared.FREE_SHUFFLES) == before
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_row long, edition_date date, id string, category string, country string, source string, score int, published_at timestamp")
 
