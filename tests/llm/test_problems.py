@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,25 @@ def test_parts_of_the_keys_are_all_keys():
         assert sorted(sum(parts, [])) == of() and max(map(len, parts)) < 0.6 * len(of())
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_cells_of_hot_keys_equal_all_pairs(size, monkeypatch):
+    """Left rows meet right rows of their cell in another group, wherever the batches are cut."""
+    monkeypatch.setattr(neardup, "CELLS", 8)
+    rng = np.random.default_rng(8)
+    near = rng.integers(0, 2, 4) * 255  # fingerprints that are equal or far apart
+    rows = [(key, cell, int(side), int(rng.integers(3)), int(rng.integers(40)), int(n) << 32 | int(n) * 5 // 3, *[int(rng.choice(near))] * 3) for key in (-3, 5) for cell in (0, 1 << 32, 1 << 32 | 1) for side, n in zip(np.sort(rng.integers(0, 3, 15)), rng.integers(10, 30, 15))]
+    rows.append((9, 0, 1, 0, 1, 10 << 32 | 10, 0, 0, 0))  # no left row
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + size])], ["key", "cell", "side", "grp", "cls", "room", "b0", "b1", "b2"]) for a in range(0, len(rows), size)]
+    got = sorted((r["a"], r["b"]) for b in neardup._pairs_of_cells(0.6)(iter(batches)) for r in b.to_pylist())
+    want = []
+    for a, b in itertools.product(rows, rows):
+        na, nb = a[5] >> 32, b[5] >> 32
+        if a[:2] == b[:2] and a[2] == 0 < b[2] and a[3] != b[3] and (a[4] < b[4] or b[2] == 2) and na <= b[5] & 0xFFFFFFFF and nb <= a[5] & 0xFFFFFFFF:
+            if sum((x ^ y).bit_count() for x, y in zip(a[6:], b[6:])) <= (na + nb) * 0.25 + 1e-6:
+                want.append((min(a[4], b[4]), max(a[4], b[4])))
+    assert got == sorted(want) and want
+
+
 def test_near_duplicates_leave_no_shuffle_of_tables_behind(spark, monkeypatch):
     """When a table is written, the shuffles of those before it are gone from the disk."""
     disk, seen, write = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], neardup.written
